@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserel.llm.minhash import op10_minhash
+from tesserel.llm.substring import op6_substring
+from tesserel.llm.toxicity import op7_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +17,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_substring": lambda spark, d: op6_substring(_read(spark, d, "documents")),
+        "op7_toxicity": lambda spark, d: op7_toxicity(_read(spark, d, "documents"), _read(spark, d, "labels")),
         "op10_minhash": lambda spark, d: op10_minhash(_read(spark, d, "documents")),
     }
 
