@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserel.llm.bpe import op5_bpe
 from tesserel.llm.minhash import op10_minhash
+from tesserel.llm.packing import op4_packing
+from tesserel.llm.pii import op2_pii
 from tesserel.llm.substring import op6_substring
 from tesserel.llm.toxicity import op7_toxicity
 
@@ -17,6 +20,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": lambda spark, d: op2_pii(_read(spark, d, "documents")),
+        "op4_packing": lambda spark, d: op4_packing(_read(spark, d, "documents")),
+        "op5_bpe": lambda spark, d: op5_bpe(_read(spark, d, "documents")),
         "op6_substring": lambda spark, d: op6_substring(_read(spark, d, "documents")),
         "op7_toxicity": lambda spark, d: op7_toxicity(_read(spark, d, "documents"), _read(spark, d, "labels")),
         "op10_minhash": lambda spark, d: op10_minhash(_read(spark, d, "documents")),
