@@ -18,6 +18,7 @@ batch at once, in blocks, with no loop over words.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -126,7 +127,7 @@ def features(w: tv.Words) -> list[np.ndarray]:
     last = np.r_[edge[1:], True] if len(edge) else edge
     after = np.where(last, U64(2), np.r_[w.hash[1:], U64(0)]) if len(w.hash) else w.hash
     out += [tv.mix(before + U64(101)), tv.mix(after + U64(202))]
-    return [(x & mask).astype(np.int64) for x in out]
+    return [(x & mask).astype(np.int32) for x in out]
 
 
 @dataclass
@@ -161,7 +162,7 @@ def _labelled_words(w: tv.Words, toxic: np.ndarray) -> np.ndarray:
     n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
     hit = np.zeros(len(w.hash), bool)
     for x in slots:
-        pair = np.unique(w.doc * (1 << BITS) + x)
+        pair = np.unique(w.doc * (1 << BITS) + x.astype(np.int64))
         doc, slot = pair >> BITS, pair & ((1 << BITS) - 1)
         pos = np.bincount(slot[toxic[doc]], minlength=1 << BITS).astype(float)
         neg = np.bincount(slot[~toxic[doc]], minlength=1 << BITS).astype(float)
@@ -259,8 +260,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_docs)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * max_docs ids: a bounded broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return fit_texts([r["text"] for r in rows], [int(r["y"]) for r in rows], counts[True] / (counts[True] + counts[False]))
+    prior = counts[True] / (counts[True] + counts[False])
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            toxic += b.column("y").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(texts, toxic, prior))], pa.binary())], ["model"])
+
+    # one task of an executor fits, so that the sample never comes to the driver
+    return pickle.loads(sample.repartition(1).sortWithinPartitions("id").mapInArrow(run, "model binary").first()["model"])
 
 
 def _tagged(model, threshold: float, least: float, spans: bool):
