@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserel.llm import urls
+from tesserel.llm.ann import op1_ann
 from tesserel.llm.bpe import op5_bpe
+from tesserel.llm.fingerprints import op3_fingerprints
+from tesserel.llm.licenses import op9_licenses
 from tesserel.llm.minhash import op10_minhash
 from tesserel.llm.packing import op4_packing
 from tesserel.llm.pii import op2_pii
@@ -20,14 +24,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": lambda spark, d: op1_ann(_read(spark, d, "embeddings")),
         "op2_pii": lambda spark, d: op2_pii(_read(spark, d, "documents")),
+        "op3_fingerprints": lambda spark, d: op3_fingerprints(_read(spark, d, "documents")),
         "op4_packing": lambda spark, d: op4_packing(_read(spark, d, "documents")),
         "op5_bpe": lambda spark, d: op5_bpe(_read(spark, d, "documents")),
         "op6_substring": lambda spark, d: op6_substring(_read(spark, d, "documents")),
         "op7_toxicity": lambda spark, d: op7_toxicity(_read(spark, d, "documents"), _read(spark, d, "labels")),
+        "op8_urls": lambda spark, d: urls.op8_urls(_read(spark, d, "pages")),
+        "op9_licenses": lambda spark, d: op9_licenses(_read(spark, d, "documents")),
         "op10_minhash": lambda spark, d: op10_minhash(_read(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_urls": urls.ORACLE_SQL}
