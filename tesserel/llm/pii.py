@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tesserel.llm import textvec as tv
 from tesserel.llm.keys import id_key, text_key
@@ -52,15 +52,14 @@ _DIGIT[48:58] = True
 
 
 def suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Documents that can hold an entity: with an @, or 7 digits, or a key's prefix and its length."""
-    mark = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(_DIGIT[buf], out=mark[1:])
-    digits = mark[offs[1:]] - mark[offs[:-1]]
-    np.cumsum(buf == 64, out=mark[1:])
-    at = mark[offs[1:]] - mark[offs[:-1]]
-    np.cumsum((buf == 95) | (buf == 45), out=mark[1:])
-    marks = mark[offs[1:]] - mark[offs[:-1]]
-    return np.flatnonzero((at > 0) | (digits >= 7) | (marks > 0) | (digits > 0) & (np.diff(offs) >= 20))
+    """Documents that can hold an entity: with an @, or 7 digits, or digits and the length of a key, or a mark of one."""
+
+    def count(at: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(at)
+        return np.searchsorted(at, offs[1:]) - np.searchsorted(at, offs[:-1])
+
+    digits = count(_DIGIT[buf])
+    return np.flatnonzero((count(buf == 64) > 0) | (digits >= 7) | (count((buf == 95) | (buf == 45)) > 0) | (digits > 0) & (np.diff(offs) >= 20))
 
 
 def entities(text: bytes) -> list[tuple[int, int, str]]:
@@ -81,16 +80,17 @@ def _doc_key(id_col: str, text_col: str):
 
 def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, eh = [], []
-        buf, offs = tv.utf8(batch.column("text"))
-        data = memoryview(buf)
-        for i in suspects(buf, offs):
-            t = bytes(data[offs[i] : offs[i + 1]])
-            for h in {entity_hash(t[s:e]) for s, e, _ in entities(t)}:
-                rows.append(i)
-                eh.append(h)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("dk").take(at), batch.column("k2").take(at), pa.array(eh, pa.int64())], ["dk", "k2", "eh"])
+        for b in tv.slices(batch, "text"):
+            rows, eh = [], []
+            buf, offs = tv.utf8(b.column("text"))
+            data = memoryview(buf)
+            for i in suspects(buf, offs):
+                t = bytes(data[offs[i] : offs[i + 1]])
+                for h in {entity_hash(t[s:e]) for s, e, _ in entities(t)}:
+                    rows.append(i)
+                    eh.append(h)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("dk").take(at), b.column("k2").take(at), pa.array(eh, pa.int64())], ["dk", "k2", "eh"])
 
 
 def terms(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +104,20 @@ def terms(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w.hash, tv.mix(w.span_hash(w.start, stop) + U64(7)), tail - head > PREFIX
 
 
+def distinct(doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of document and term, documents in order."""
+    _, at = np.unique(tv.mix(th ^ tv.mix(doc.astype(U64))), return_index=True)
+    at = at[np.argsort(doc[at], kind="stable")]
+    return doc[at], th[at]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(eh, th, k2) for every entity and distinct term (or prefix) of the documents that hold it."""
     for batch in batches:
         for b in tv.slices(batch, "text"):
             w = tv.words(b.column("text"))
             h, p, longer = terms(w)
-            pair = np.unique(np.stack([np.r_[w.doc, w.doc[longer]].astype(U64), np.r_[h, p[longer]]], 1), axis=0) if len(h) else np.zeros((0, 2), U64)
-            doc, th = pair[:, 0].astype(np.int64), pair[:, 1]
+            doc, th = distinct(np.r_[w.doc, w.doc[longer]], np.r_[h, p[longer]])
             n = np.bincount(doc, minlength=b.num_rows)
             lists_ = b.column("ehs")
             offs = lists_.offsets.to_numpy().astype(np.int64)
@@ -150,8 +156,7 @@ def _frequencies(bloom):
                 doc, th = np.r_[w.doc, w.doc[longer]], np.r_[h, p[longer]]
                 ok = _probe(bloom.value, th)
                 doc, th = doc[ok], th[ok]
-                pair = np.unique(np.stack([th, doc.astype(U64)], 1), axis=0) if len(th) else np.zeros((0, 2), U64)
-                u, n = np.unique(pair[:, 0], return_counts=True)
+                u, n = np.unique(distinct(doc, th)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["th", "n"])
 
     return run
@@ -237,28 +242,27 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     columns, names = docs.columns, ["entities", "generalised", "removed"] if counts else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(text_col)
-            buf, offs = tv.utf8(texts)
-            data, lists_ = memoryview(buf), b.column(col)
-            n = np.zeros((3, b.num_rows), np.int32)
-            new: dict[int, str] = {}
-            for i in suspects(buf, offs):
-                a = lists_[int(i)]
-                text = bytes(data[offs[i] : offs[i + 1]])
-                out, *n[:, i] = sanitised(text, np.array(a.as_py(), np.int64) if a.is_valid else None)
-                if out != text:
-                    new[int(i)] = out.decode("utf-8", "replace")
-            if new:
-                values = texts.to_pylist()
-                for i, x in new.items():
-                    values[i] = x
-                texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays([texts if c == text_col else b.column(c) for c in columns] + ([pa.array(x) for x in n] if counts else []), names=columns + names)
-
-    schema = docs.schema
-    for x in names:
-        schema = schema.add(x, IntegerType())
+        for batch in batches:
+            for b in tv.slices(batch, text_col):
+                texts = b.column(text_col)
+                buf, offs = tv.utf8(texts)
+                data, lists_ = memoryview(buf), b.column(col)
+                n = np.zeros((3, b.num_rows), np.int32)
+                new: dict[int, str] = {}
+                for i in suspects(buf, offs):
+                    a = lists_[int(i)]
+                    text = bytes(data[offs[i] : offs[i + 1]])
+                    out, *n[:, i] = sanitised(text, np.array(a.as_py(), np.int64) if a.is_valid else None)
+                    if out != text:
+                        new[int(i)] = out.decode("utf-8", "replace")
+                if new:
+                    values = texts.to_pylist()
+                    for i, x in new.items():
+                        values[i] = x
+                    texts = pa.array(values, texts.type)
+                yield pa.RecordBatch.from_arrays([texts if c == text_col else b.column(c) for c in columns] + ([pa.array(x) for x in n] if counts else []), names=columns + names)
+
+    schema = StructType([*docs.schema.fields, *[StructField(x, IntegerType()) for x in names]])
     return marked.mapInArrow(run, schema)
 
 
