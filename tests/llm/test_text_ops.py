@@ -1,0 +1,568 @@
+import collections
+import itertools
+import random
+import re
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
+import messy  # noqa: E402
+
+from tesserel.llm import bpe, components, fingerprints, licenses, minhash, packing, pii, substring, toxicity, urls  # noqa: E402
+from tesserel.llm import textvec as tv  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def table(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---- primitives
+
+
+@given(st.lists(st.text(max_size=40), max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_words_are_runs_of_letters_and_digits(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    w = tv.words(pa.array(texts, pa.string()))
+    got = [[] for _ in texts]
+    for d, s, e in zip(w.doc, w.start, w.end):
+        got[d].append(w.buf[s:e].tobytes().decode())
+    assert got == [WORD.findall(t) for t in texts]
+    same = collections.defaultdict(set)
+    for h, s, e in zip(w.hash.tolist(), w.start, w.end):
+        same[h].add(w.low[s:e].tobytes())
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_whole_groups_are_never_cut():
+    keys = sorted(random.Random(1).choices(range(9), k=100))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7])], ["k"]) for i in range(0, 100, 7)]
+    seen, out = set(), []
+    for b in tv.whole_groups(iter(batches), "k"):
+        mine = set(b.column("k").to_pylist())
+        assert not mine & seen
+        seen |= mine
+        out += b.column("k").to_pylist()
+    assert out == keys
+
+
+# ---- 2: sanitisation
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [("see jo.b+x@mail3.example.com.", "EMAIL"), ("at +1 (377) 555-0271 now", "PHONE"), ("ip 144.137.247.239!!", "IP"), ("4026083977531332", "CARD"), ("4026 0839 7753 1332", "CARD"), ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "SECRET"), ("ssn 123-45-6789", "SSN"), ("+1&&& (377)$$$ 555-0271###", "PHONE")],
+)
+def test_entities_by_kind(text, kind):
+    assert [k for _, _, k in pii.entities(text.encode())] == [kind]
+    assert pii.suspects(*tv.utf8(pa.array([text, "clean words only"], pa.string()))).tolist()[0] == 0
+
+
+def test_clean_text_has_no_entities():
+    for t in ("version 2.0 of 1999", "from 10 to 20, see 3.14", "a@b", "the year 2024-01-02", "Licensed under CC BY-NC 4.0."):
+        assert pii.entities(t.encode()) == []
+
+
+def test_telling_terms_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(12)]
+        if i % 20 == 0:
+            words += ["boss@corp.example.com", "zanzibarian", f"unique{i}"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    out = {r.doc_id: r for r in pii.op2_pii(docs).collect()}
+    n = len(rows)
+    terms = {i: {t for x in WORD.findall(s.lower()) for t in {x, x[:4] + "*" if len(x) > 4 else x}} for i, s in rows}
+    mine = [i for i in terms if i % 20 == 0]
+    df = collections.Counter(t for v in terms.values() for t in v)
+    both = collections.Counter(t for i in mine for t in terms[i])
+    ic = np.log(n / len(mine))
+    telling = {t for t, c in both.items() if c >= pii.SUPPORT and np.log(c * n / (len(mine) * df[t])) / ic >= pii.THRESHOLD}
+    assert "zanzibarian" in telling and "alpha" not in telling and "unique0" not in telling
+    for i, s in rows:
+        if i % 20:
+            assert out[i].text == s
+        else:
+            assert "zanzibarian" not in out[i].text and "<EMAIL>" in out[i].text and f"unique{i}" in out[i].text
+            assert out[i].entities == 1 and out[i].generalised + out[i].removed == 1
+
+
+def test_generalised_to_a_prefix_that_tells_nothing():
+    text = b"the zanzibarian said"
+    h = tv.words(pa.array([text], pa.large_binary()))
+    term = pii.terms(h)[0].view(np.int64)[1:2]
+    assert pii.sanitised(text, term) == (b"the zanz* said", 0, 1, 0)
+    both = np.r_[term, pii.terms(h)[1].view(np.int64)[1:2]]
+    assert pii.sanitised(text, both) == (b"the  said", 0, 0, 1)
+
+
+def test_pii_on_messy_rows(spark):
+    out = pii.op2_pii(messy.documents(spark)).collect()
+    assert len(out) == len(messy.ROWS)
+    assert [r.text for r in out if r.doc_id == 10] == ["mail me at <EMAIL> or call <PHONE>"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in out if r.doc_id != 10) == sorted((i or 0, t or "") for i, t in messy.ROWS if i != 10)
+    kept = pii.sanitise(messy.documents(spark))
+    assert kept.columns == messy.documents(spark).columns and kept.count() == len(messy.ROWS)
+    assert pii.op2_pii(messy.empty(spark)).count() == 0
+
+
+# ---- 3: fingerprints
+
+
+def _chunks_slowly(data: bytes):
+    out, s = [], 0
+    while s < len(data):
+        cut = min(s + fingerprints.MOST, len(data))
+        for e in range(s + fingerprints.LEAST, cut + 1):
+            h = 0
+            for b in data[max(0, e - 32) : e]:
+                h = (h * 2 + int(tv.GEAR32[b])) & 0xFFFFFFFF
+            bits = fingerprints.STRICT_BITS if e < s + fingerprints.USUAL else fingerprints.LOOSE_BITS
+            if h >> (32 - bits) == 0:
+                cut = min(e, len(data))
+                break
+        out.append((s, cut))
+        s = cut
+    return out
+
+
+def test_chunks_are_those_of_the_rolling_hash():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ij") for _ in range(n)) for n in (0, 10, 64, 65, 700, 5000)]
+    buf, offs = tv.utf8(pa.array(texts, pa.string()))
+    d, s, e = fingerprints.chunks(tv.fold(buf), offs)
+    for i, t in enumerate(texts):
+        got = [(int(a - offs[i]), int(b - offs[i])) for j, a, b in zip(d, s, e) if j == i]
+        assert got == _chunks_slowly(t.encode())
+
+
+def test_boundaries_move_with_the_text():
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ijklm") for _ in range(20_000))
+    buf, offs = tv.utf8(pa.array([base, "shifted by a few words " + base], pa.string()))
+    d, s, e = fingerprints.chunks(tv.fold(buf), offs)
+    sets = [{buf[a:b].tobytes() for j, a, b in zip(d, s, e) if j == i} for i in (0, 1)]
+    assert len(sets[0] & sets[1]) > 0.9 * len(sets[0])
+
+
+def _contained(rows, threshold):
+    parts = {}
+    for i, t in rows:
+        if t:
+            low = tv.fold(np.frombuffer(t.encode(), np.uint8))
+            d, s, e = fingerprints.chunks(low, np.array([0, len(low)]))
+            parts.setdefault(frozenset(low[a:b].tobytes() for a, b in zip(s, e)), []).append(i)
+    first = {k: min(v, key=lambda x: (x is None, x)) for k, v in parts.items()}
+    out = collections.Counter((m, first[k], 1.0) for k, v in parts.items() for m in sorted(v, key=lambda x: (x is None, x))[1:])
+    for a, b in itertools.permutations(parts, 2):
+        c = sum(map(len, a & b)) / sum(map(len, a))
+        if c >= threshold:
+            out[(first[a], first[b], round(c, 9))] += 1
+    return out
+
+
+def test_containment_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    rows += [(1000 + i, rows[i][1] + " tail " + rows[i + 1][1]) for i in range(20)] + [(2000 + i, rows[i][1]) for i in range(5)]
+    got = collections.Counter((r.doc_id, r.container_id, round(r.containment, 9)) for r in fingerprints.op3_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert got == _contained(rows, fingerprints.THRESHOLD) and len(got) > 20
+
+
+def test_fingerprints_on_messy_rows(spark):
+    got = collections.Counter((r.doc_id, r.container_id, r.containment) for r in fingerprints.op3_fingerprints(messy.documents(spark)).collect())
+    assert got == _contained(messy.ROWS, fingerprints.THRESHOLD)
+    assert fingerprints.op3_fingerprints(messy.empty(spark)).count() == 0
+
+
+# ---- 4: packing
+
+
+def _padding(lengths, counts, bounds):
+    return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in zip(lengths, counts))
+
+
+@given(st.dictionaries(st.integers(0, 60), st.integers(1, 9), min_size=1, max_size=9), st.integers(1, 5))
+@settings(max_examples=150, deadline=None)
+def test_boundaries_are_optimal(histogram, buckets):
+    lengths = sorted(histogram)
+    counts = [histogram[x] for x in lengths]
+    bounds, padding = packing.boundaries(lengths, counts, buckets)
+    best = min(_padding(lengths, counts, [*c, lengths[-1]]) for k in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], k))
+    assert padding == best == _padding(lengths, counts, bounds) and len(bounds) <= buckets
+
+
+def _check_batches(rows, n, budget):
+    assert len(rows) == n
+    size, bounds = collections.Counter((r.bucket, r.batch) for r in rows), {r.bucket: r.bound for r in rows}
+    for (bucket, batch), k in size.items():
+        assert k == 1 or k * bounds[bucket] <= budget
+    for b, bound in bounds.items():
+        cap = max(1, budget // max(1, bound))
+        mine = sorted(k for (x, _), k in size.items() if x == b)
+        assert sum(k < cap for k in mine) <= 1
+        assert sorted({x for y, x in size if y == b}) == list(range(len(mine)))
+    assert len({(r.bucket, r.batch, r.slot) for r in rows}) == n
+    assert all(r.length <= r.bound for r in rows)
+
+
+def test_packing(spark):
+    docs = table(spark, "documents")
+    rows = packing.op4_packing(docs, buckets=6, budget=2048).collect()
+    _check_batches(rows, docs.count(), 2048)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.length == len(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s]+", text[r.doc_id])) for r in rows)
+
+
+def test_packing_numbers_across_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ROWS", 7)
+    _check_batches(packing.op4_packing(table(spark, "documents"), buckets=3, budget=4096).collect(), 200, 4096)
+
+
+def test_packing_messy_rows(spark):
+    rows = packing.op4_packing(messy.documents(spark), budget=1000).collect()
+    _check_batches(rows, len(messy.ROWS), 1000)
+    assert packing.op4_packing(messy.empty(spark)).count() == 0
+
+
+# ---- 5: BPE
+
+
+def _oracle():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.vocabulary()), _oracle()
+
+
+def _encode(enc, texts):
+    n, ids, _, _ = enc.encode(pa.array(texts, pa.large_string()))
+    ends = np.r_[0, np.cumsum(n)]
+    return [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(texts))]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab 's\n\tlre'vmdT1,é日🙂 ")), max_size=60), min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_bpe_is_exact(encoder, texts):
+    assert _encode(encoder[0], texts) == [encoder[1].encode_ordinary(t) for t in texts]
+
+
+def test_bpe_long_runs_and_round_trip(encoder):
+    texts = ["a" * 3000, " " * 700 + "x", "!?" * 900, "don't we'll 'tis", "", messy.LONG]
+    got = _encode(encoder[0], texts)
+    assert got == [encoder[1].encode_ordinary(t) for t in texts]
+    assert [bpe.vocabulary().decode(np.array(g, np.int64)).tobytes().decode() for g in got] == texts
+
+
+def test_bpe_forgets_without_changing(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    enc = bpe.Encoder(bpe.vocabulary())
+    for t in ("one two three four five six seven", "two three eight nine ten", "one one one two"):
+        assert _encode(enc, [t]) == [encoder[1].encode_ordinary(t)]
+
+
+def test_bpe_query_round_trips(spark, encoder):
+    docs = table(spark, "documents")
+    out = bpe.op5_bpe(docs)
+    rows = out.collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.round_trip and r.n_tokens == len(r.tokens) for r in rows)
+    assert all(r.tokens == encoder[1].encode_ordinary(text[r.doc_id]) for r in rows)
+    assert {r.doc_id: r.text for r in bpe.decoded(out).collect()} == text
+
+
+def test_bpe_messy_rows(spark, encoder):
+    rows = bpe.op5_bpe(messy.documents(spark)).collect()
+    assert sorted(map(str, (r.tokens for r in rows))) == sorted(str(encoder[1].encode_ordinary(t or "")) for _, t in messy.ROWS)
+    assert bpe.op5_bpe(messy.empty(spark)).count() == 0
+
+
+# ---- 6: substrings
+
+
+def _repeats(rows, least=50):
+    pos, where = {}, collections.defaultdict(set)
+    for i, t in {(i, t) for i, t in rows if t}:
+        ms = list(WORD.finditer(t))
+        ws = [m.group().lower() for m in ms]
+        pos[i, t] = ms, ws
+        for j in range(len(ws) - least + 1):
+            where[tuple(ws[j : j + least])].add((i, t))
+    out = {}
+    for d, (ms, ws) in pos.items():
+        spans = []
+        for j in range(len(ws) - least + 1):
+            if len(where[tuple(ws[j : j + least])]) > 1:
+                s, e = ms[j].start(), ms[j + least - 1].end()
+                if spans and s <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], e)
+                else:
+                    spans.append([s, e])
+        if spans:
+            out[d[0]] = [tuple(x) for x in spans]
+    return out
+
+
+def test_repeats_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents", "/root/testdata/sf0.01").collect()]
+    rng = random.Random(9)
+    passages = [" ".join(rng.choice(["red", "green", "blue", f"n{rng.randrange(400)}"]) for _ in range(n)) for n in (49, 50, 51, 70, 120)]
+    for k, p in enumerate(passages):
+        rows += [(5000 + 10 * k + j, f"{'lead ' * j} intro{k}{j} " + p + f" outro{j}{k} " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(30))) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeats] for r in substring.op6_substring(docs).collect()}
+    assert got == _repeats(rows)
+    cut = substring.without_repeats(docs)
+    left = [(r.doc_id, r.text) for r in cut.collect()]
+    assert _repeats(left) == {}
+    untouched = {i for i, _ in rows} - set(got)
+    assert {i: t for i, t in left if i in untouched} == {i: t for i, t in rows if i in untouched}
+    # what is dropped stays somewhere: each dropped word run of 10 words is in some text that is left, but at seams
+    grams = lambda ts, n: {tuple(w[i : i + n]) for t in ts for w in [[m.lower() for m in WORD.findall(t)]] for i in range(len(w) - n + 1)}
+    text = dict(rows)
+    dropped = grams([text[r.doc_id][s.start : s.end] for r in substring.op6_substring(docs).collect() for s in r.drops], 10)
+    assert len(dropped - grams([t for _, t in left], 10)) < 0.03 * len(dropped)
+
+
+def test_repeats_by_shuffle_are_the_same(spark, monkeypatch):
+    docs = table(spark, "documents")
+    a = {r.doc_id: (r.repeats, r.drops) for r in substring.op6_substring(docs).collect()}
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: (r.repeats, r.drops) for r in substring.op6_substring(docs).collect()} == a
+
+
+def test_repeats_in_messy_rows(spark):
+    rows = messy.ROWS + [(20, messy.LONG), (21, "x " * 60), (22, "x " * 60)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeats] for r in substring.op6_substring(messy.documents(spark, rows)).collect()}
+    assert got == _repeats(rows) and set(got) == {6, 20, 21, 22}
+    cut = substring.without_repeats(messy.documents(spark, rows))
+    assert cut.columns == messy.documents(spark).columns and cut.count() == len(rows) - 2
+    assert substring.op6_substring(messy.empty(spark)).count() == 0 and substring.without_repeats(messy.empty(spark)).count() == 0
+
+
+# ---- 7: toxicity
+
+
+@given(st.lists(st.floats(-4, 4), min_size=1, max_size=8), st.tuples(*[st.floats(-3, 3)] * 3))
+@settings(max_examples=100, deadline=None)
+def test_marginals_by_enumeration(scores, trans):
+    n, total, p = len(scores), 0.0, np.zeros(len(scores))
+    for y in itertools.product((0, 1), repeat=n):
+        e = sum(s for s, x in zip(scores, y) if x) + (trans[0] if y[0] else 0)
+        for a, b in zip(y, y[1:]):
+            e += {(0, 1): trans[0], (1, 0): trans[1], (1, 1): trans[2], (0, 0): 0}[a, b]
+        w = np.exp(e)
+        total += w
+        p += w * np.array(y)
+    got = toxicity.marginals(np.array(scores), np.array([0, n]), np.array(trans))
+    assert np.allclose(got, p / total, atol=1e-6)
+
+
+def test_marginals_in_blocks_are_those_of_single_documents():
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 127, 128, 129, 700, 0, 3]
+    first = np.r_[0, np.cumsum(sizes)]
+    s, t = rng.normal(size=first[-1]) * 2, np.array([-1.0, -0.5, 0.7])
+    whole = toxicity.marginals(s, first, t)
+    for a, b in zip(first, first[1:]):
+        assert np.allclose(whole[a:b], toxicity.marginals(s[a:b], np.array([0, b - a]), t), atol=1e-9)
+
+
+def test_toxicity_held_out():
+    import duckdb
+
+    rows = duckdb.sql("SELECT d.text, l.toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) ORDER BY hash(d.doc_id)").fetchall()
+    train, test = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    pos, neg = [r for r in train if r[1] == 1][:1200], [r for r in train if r[1] == 0][:1200]
+    model = toxicity.fit_texts([r[0] for r in pos + neg], [r[1] for r in pos + neg], len(pos) / len(train))
+    w = tv.words(pa.array([r[0] for r in test], pa.large_string()))
+    y, got = np.array([r[1] for r in test]), model.documents(model.words(w), w.first) >= 0.5
+    assert (got & (y == 1)).sum() >= 0.9 * (y == 1).sum() and (got & (y == 0)).sum() <= 0.005 * (y == 0).sum()
+
+
+def test_toxic_spans_and_messy_rows(spark):
+    rng = random.Random(2)
+    clean = lambda: " ".join(rng.choice("sun moon tree river stone cloud bird leaf".split()) for _ in range(30))
+    docs = [(i, clean()) for i in range(200)] + [(200 + i, clean() + " you IDIOT scum! " + clean()) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(260)] + [(None, 1), (3, None)], "doc_id int, toxic int")
+    out = toxicity.op7_toxicity(spark.createDataFrame(docs, "doc_id int, text string"), labels).collect()
+    text = dict(docs)
+    assert all(r.toxic == (r.doc_id >= 200) for r in out)
+    for r in out:
+        words = {text[r.doc_id][s.start : s.end].lower() for s in r.spans}
+        assert (not words) if r.doc_id < 200 else words and all("idiot" in w or "scum" in w or w == "you" for w in words)
+    odd = messy.documents(spark)
+    assert toxicity.op7_toxicity(odd, labels).count() == len(messy.ROWS)
+    kept = toxicity.clean(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == len(messy.ROWS)
+    none = labels.where("toxic = 5")
+    assert not any(r.toxic for r in toxicity.op7_toxicity(odd, none).collect())
+    assert toxicity.op7_toxicity(messy.empty(spark), labels).count() == 0
+
+
+# ---- 8: URLs
+
+
+def test_url_candidates_and_entries():
+    assert urls.candidates("https://u:p@A.b.Example.com:80/x/y.html?q=1#f") == ["a.b.example.com/x/y.html", "a.b.example.com/x", "a.b.example.com", "b.example.com", "example.com"]
+    assert urls.candidates("no scheme") == [] and urls.candidates(None) == [] and urls.candidates("http://[bad") == []
+    assert urls.entry("HTTPS://Spam.example.com/a/") == "spam.example.com/a"
+
+
+def test_collisions_are_confirmed_by_strings():
+    bad = lambda data: len(data) % 3
+    d = urls.Digests.of(["aa.com", "bbb.com", "ccc.com/x", None, " "], digest=bad)
+    assert d.match([["zz.com"], ["bbb.com"], ["ccc.com/x", "ccc.com"], ["ccc.com"], []], digest=bad) == [None, "bbb.com", "ccc.com/x", None, None]
+
+
+def test_url_query_equals_its_sql_and_messy_rows(spark):
+    import duckdb
+
+    got = sorted(map(tuple, urls.op8_urls(table(spark, "pages", "/root/testdata/sf0.01")).collect()))
+    assert got == sorted(duckdb.sql(urls.ORACLE_SQL.replace("FROM pages", "FROM '/root/testdata/sf0.01/pages.parquet'")).fetchall()) and any(r[2] for r in got)
+    rows = [(1, None), (None, "http://casino-win.example.com/"), (2, ""), (3, "::bad::"), (4, "http://x.free-bets.example.com/" + "a/" * 5000), (4, "http://x.free-bets.example.com/" + "a/" * 5000), (5, "http://free-bets.example.com.evil.org/")]
+    pages = spark.createDataFrame([(*r, None, None) for r in rows], "page_id int, url string, id string, blocked string")
+    assert sorted(r.blocked for r in urls.op8_urls(pages).collect()) == [False] * 4 + [True] * 3
+    assert urls.op8_urls(pages.limit(0)).count() == 0 and not any(r.blocked for r in urls.op8_urls(pages, []).collect())
+    block = spark.createDataFrame([("casino-win.example.com/a",), (None,)], "x string")
+    assert not any(r.blocked for r in urls.op8_urls(pages, block).collect())
+
+
+# ---- 9: licences
+
+
+def test_licence_lines_are_found_and_others_not(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    got = {(r.doc_id, r.start): r.family for r in licenses.op9_licenses(docs).collect()}
+    want, known = {}, {"MIT": "MIT", "Apache": "Apache-2.0", "GNU": "GPL-3.0", "BY-NC": "CC-BY-NC-4.0"}
+    for r in docs.collect():
+        for m in re.finditer(r"(?i)[^\n]*licensed? under[^\n]*|[^\n]*released under[^\n]*", r.text):
+            want[r.doc_id, m.start()] = next(f for k, f in known.items() if k in m.group())
+    assert got == want
+
+
+def test_licence_classifier_on_held_out_wording():
+    model = licenses.train(["ther anly with of the reon and thtion", "Der die und nicht ein"] * 50)
+    yes = {"This software is released under the MIT license, copyright 2021 J. Doe": "MIT", "licensed under the apache license version 2.0": "Apache-2.0", "Distributed under the GNU General Public License version 3": "GPL-3.0", "This text is licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Code under the Mozilla Public License 2.0": "MPL-2.0"}
+    no = ["He got his driving license in version 2 of the test", "the public was free to go", "a word", "permission to land was granted by the tower"]
+    w, line, first = licenses.lines(pa.array([*yes, *no], pa.string()))
+    p = model.probabilities(model.logits(w, line, len(first)))
+    sure = [(licenses.FAMILIES[i], x >= model.least) for i, x in zip(p[:, :-1].argmax(1), p[:, :-1].max(1))]
+    assert [f for f, ok in sure[: len(yes)]] == list(yes.values())
+    hits = [ok and licenses.likeness(t, f) >= licenses.CONFIRM for (f, ok), t in zip(sure, [*yes, *no])]
+    assert sum(hits[: len(yes)]) >= 4 and not any(hits[len(yes) :])
+
+
+def test_licences_in_messy_rows(spark):
+    rows = messy.ROWS + [(30, "x\n\nReleased under the MIT License.\r\ny"), (30, "x\n\nReleased under the MIT License.\r\ny"), (None, "Licensed under CC BY-NC 4.0.")]
+    got = [(r.doc_id, r.family, r.start, r.end) for r in licenses.op9_licenses(messy.documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(30, "MIT", 3, 33), (30, "MIT", 3, 33), (None, "CC-BY-NC-4.0", 0, 27)], key=str)
+    assert licenses.op9_licenses(messy.empty(spark)).count() == 0
+
+
+# ---- 10: near duplicates
+
+
+def _superminhash_slowly(elements, m):
+    h = [float("inf")] * m
+    for x in set(elements):
+        p = list(range(m))
+        for j in range(m):
+            draw = int(tv.mix(np.array([(x + (j + 1) * int(minhash._GOLD)) % 2**64], np.uint64))[0])
+            r = (draw >> 11) * 2.0**-53
+            k = j + ((draw & 0xFFFFFFFF) * (m - j) >> 32)
+            p[j], p[k] = p[k], p[j]
+            h[p[j]] = min(h[p[j]], r + j)
+    return h
+
+
+def test_superminhash_stops_early_without_changing():
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 5, 40, 300, 0]
+    e = rng.integers(0, 2**63, sum(sizes)).astype(np.uint64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    got = minhash.superminhash(e, doc, len(sizes), 32)
+    for i in range(len(sizes)):
+        assert got[i].tolist() == _superminhash_slowly([int(x) for x in e[doc == i]], 32)
+
+
+def test_superminhash_estimates_jaccard_with_less_variance():
+    rng, m, est = np.random.default_rng(3), 64, []
+    for _ in range(150):
+        x = rng.integers(0, 2**63, 30).astype(np.uint64)
+        a, b = x[:20], x[10:]
+        s = minhash.superminhash(np.r_[a, b], np.repeat([0, 1], 20), 2, m)
+        est.append((s[0] == s[1]).mean())
+    j = 1 / 3
+    assert abs(np.mean(est) - j) < 0.015 and np.var(est) < j * (1 - j) / m
+
+
+def _near(rows, gram=3):
+    sets = {}
+    for n, (i, t) in enumerate(rows):
+        w = [x.lower() for x in WORD.findall(t or "")]
+        if w:
+            sets[n] = {tuple(w[k : k + gram]) for k in range(len(w) - gram + 1)} or {tuple(w)}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b]}
+
+
+def test_near_duplicates_by_brute_force(spark):
+    docs = table(spark, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(1)
+    for k in range(30):
+        w = rows[k][1].split()
+        rows.append((3000 + k, " ".join(x for x in w if rng.random() > 0.03)))
+    got = {r.doc_id: r for r in minhash.op10_minhash(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    near = _near(rows)
+    sure = [(a, b) for (a, b), j in near.items() if j >= 0.7]
+    assert sum(got[rows[a][0]].group_id == got[rows[b][0]].group_id for a, b in sure) >= 0.98 * len(sure) and len(sure) > 20
+    # groups are held together by pairs that are near indeed
+    n = len(rows)
+    a, b = np.array([p for p, j in near.items() if j >= 0.4] or [(0, 0)]).T
+    root = components.find_roots(a, b, n)
+    best = {}
+    for i in range(n):
+        best.setdefault(got[rows[i][0]].group_id, set()).add(int(root[i]))
+    assert all(len(v) == 1 for v in best.values())
+    for g, rs in itertools.groupby(sorted(got.values(), key=lambda r: r.group_id), key=lambda r: r.group_id):
+        rs = list(rs)
+        assert [r.doc_id for r in rs if r.keep] == [g] == [min(r.doc_id for r in rs)] and all(r.group_size == len(rs) for r in rs)
+
+
+def test_components_by_rounds_are_those_of_one_task(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    one = {r.node: r.root for r in components.components(df).collect()}
+    many = {r.node: r.root for r in components.components(df, one_task=0).collect()}
+    assert {k: v for k, v in one.items() if k in many} == many
+    assert all(one[k] == k for k in set(one) - set(many))
+
+
+def test_near_duplicates_in_messy_rows(spark):
+    docs = messy.documents(spark)
+    rows = minhash.op10_minhash(docs).collect()
+    assert len(rows) == len(messy.ROWS) and sum(r.keep for r in rows) == len(messy.ROWS) - 2
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert ids[1] == 1 and ids[9] == 0 and ids[None] == 2 and sum(ids.values()) == len(messy.ROWS) - 2
+    assert minhash.op10_minhash(messy.empty(spark)).count() == 0 and minhash.deduplicated(messy.empty(spark)).count() == 0
