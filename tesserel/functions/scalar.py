@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 from tesserel.errors import Unsupported
 
@@ -242,7 +243,7 @@ FUNCTIONS: dict[str, Call] = {
     "contains": _same("contains", 2), **{n: _same("startswith", 2) for n in ("starts_with", "prefix", "^@")}, **{n: _same("endswith", 2) for n in ("ends_with", "suffix")},
     "replace": lambda s, a, b: f"(CASE WHEN {a} = '' THEN {s} ELSE replace({s}, {a}, {b}) END)", "translate": _same("translate", 3), "repeat": lambda s, n: f"repeat({s}, CAST(greatest({n}, 0) AS INT))", "lpad": pad("lpad"), "rpad": pad("rpad"),
     "left": lambda s, n: f"(CASE WHEN {n} < 0 THEN substring({s}, 1, greatest(char_length({s}) + {n}, 0)) ELSE left({s}, {n}) END)", "right": lambda s, n: f"(CASE WHEN {n} < 0 THEN substring({s}, 1 - {n}) ELSE right({s}, {n}) END)",
-    "ascii": first_code(0), "ord": first_code(-1), "unicode": first_code(-1), "chr": _same("char", 1), "md5": _same("md5", 1),
+    "ascii": first_code(0), "ord": first_code(-1), "unicode": first_code(-1), "chr": lambda n: f"decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32')", "md5": _same("md5", 1),
     "levenshtein": lambda a, b: f"CAST(levenshtein({_bytes(a)}, {_bytes(b)}) AS BIGINT)", "editdist3": lambda a, b: f"CAST(levenshtein({_bytes(a)}, {_bytes(b)}) AS BIGINT)", "jaccard": jaccard, "hamming": hamming, "mismatches": hamming,
     "damerau_levenshtein": _same("tess_damerau", 2), "strip_accents": _same("tess_strip_accents", 1), "reverse": _same("tess_reverse", 1), "nextafter": lambda x, y: f"tess_nextafter({_dbl(x)}, {_dbl(y)})",
     "~~": like, "!~~": lambda s, p: f"(NOT {like(s, p)})", "~~*": lambda s, p: like(s, p, fold=True), "!~~*": lambda s, p: f"(NOT {like(s, p, fold=True)})", "like_escape": like, "not_like_escape": lambda s, p, e: f"(NOT {like(s, p, e)})", "ilike_escape": lambda s, p, e: like(s, p, e, True), "not_ilike_escape": lambda s, p, e: f"(NOT {like(s, p, e, True)})", "~~~": glob,
@@ -257,7 +258,7 @@ FUNCTIONS: dict[str, Call] = {
 }
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def tess_damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     """Unrestricted Damerau-Levenshtein over bytes."""
 
@@ -284,13 +285,13 @@ def tess_damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def tess_strip_accents(s: pd.Series) -> pd.Series:
     """Canonical decomposition without its combining marks."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def tess_reverse(s: pd.Series) -> pd.Series:
     """Reverses grapheme clusters, so that marks stay with their letters."""
     import regex
@@ -298,7 +299,7 @@ def tess_reverse(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else x[::-1] if x.isascii() else "".join(reversed(regex.findall(r"\X", x))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def tess_nextafter(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(a.to_numpy(float), b.to_numpy(float))).where(a.notna() & b.notna())
 
