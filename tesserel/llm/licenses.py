@@ -212,7 +212,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample_lines: int = SAMPLE_
         got = [t for b in batches for t in b.column("line").to_pylist() if t and not re.search("(?i)licen[sc]|spdx|copyright", t)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.repartition(1).sortWithinPartitions("h", "line").mapInArrow(run, "model binary").first()["model"])
+    got = rows.repartition(1).sortWithinPartitions("h", "line").mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else train([])
 
 
 def _scanned(model, confirm: float):
