@@ -285,7 +285,7 @@ def _encoded(vocab):
             _workers.clear()
             enc = _workers[id(v)] = Encoder(v)
         for batch in batches:
-            for b in tv.slices(batch, "text", 3_000_000):
+            for b in tv.slices(batch, "text", 2_000_000):
                 n, ids, buf, offs = enc.encode(b.column("text"))
                 back = v.decode(ids)
                 same = np.ones(b.num_rows, bool)

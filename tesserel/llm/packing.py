@@ -90,7 +90,7 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [pieces(*tv.utf8(b.column("text"))) for b in tv.slices(batch, "text", 8_000_000)]
+        n = [pieces(*tv.utf8(b.column("text"))) for b in tv.slices(batch, "text", 2_000_000)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("k1", "k2", "id")] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["k1", "k2", "id", "length"])
 
 

@@ -8,6 +8,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 U64 = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(0x7E55E2E1)
 BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
@@ -29,6 +30,12 @@ _byte = np.arange(256)
 IS_WORD = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128)
 LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8)
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library keeps what it keeps
+    _libc = None
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,7 +47,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, U64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 
@@ -67,6 +74,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = min(max(to, at + 1), n)
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: a worker shares its executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -156,13 +156,12 @@ def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(s)), np.log(s + 0.1), np.log(s / n + 1e-3)], 1)
 
 
-def _labelled_words(w: tv.Words, toxic: np.ndarray) -> np.ndarray:
+def _labelled_words(slots: list[np.ndarray], word_doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Which words of toxic documents are toxic, by the over-represented words and prefixes."""
-    slots = features(w)[: 1 + len(PREFIXES)]
     n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
-    hit = np.zeros(len(w.hash), bool)
+    hit = np.zeros(len(word_doc), bool)
     for x in slots:
-        pair = np.unique(w.doc * (1 << BITS) + x.astype(np.int64))
+        pair = np.unique(word_doc.astype(np.int64) << BITS | x)
         doc, slot = pair >> BITS, pair & ((1 << BITS) - 1)
         pos = np.bincount(slot[toxic[doc]], minlength=1 << BITS).astype(float)
         neg = np.bincount(slot[~toxic[doc]], minlength=1 << BITS).astype(float)
@@ -173,7 +172,44 @@ def _labelled_words(w: tv.Words, toxic: np.ndarray) -> np.ndarray:
             ratio = 2 * (np.where(pos > 0, pos * np.log(pos / (both * share)), 0) + np.where(neg > 0, neg * np.log(neg / (both * (1 - share))), 0))
         strong = (pos >= MIN_DOCS) & (odds >= MIN_LOG_ODDS) & (np.nan_to_num(ratio) >= MIN_LIKELIHOOD_RATIO)
         hit |= strong[x]
-    return hit & toxic[w.doc]
+    return hit & toxic[word_doc]
+
+
+@dataclass
+class _Part:
+    """Some training documents: word counts, gold labels, and which active weights each word has."""
+
+    first: np.ndarray
+    y: np.ndarray
+    rows: list[np.ndarray]
+    cols: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        counts = np.diff(self.first)
+        self.starts = self.first[:-1][counts > 0]
+        self.same = np.ones(max(len(self.y) - 1, 0), bool)
+        self.same[self.starts[1:] - 1] = False
+
+    def score(self, act: np.ndarray, bias: float) -> np.ndarray:
+        out = np.full(len(self.y), bias)
+        for r, c in zip(self.rows, self.cols):
+            out[r] += act[c]
+        return out
+
+    def gradient(self, act: np.ndarray, bias: float, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Gold less expected counts of the weights, of toxic words, and of the transitions."""
+        f, g, e = messages(self.score(act, bias), self.first, trans)
+        p = f * g / (1 + f * g)
+        a, b, c = np.exp(np.clip(trans, -15, 15))
+        f0, q = f[:-1], e[1:] * g[1:]
+        ot, to, tt = a * q, b * f0, c * f0 * q
+        z, y, same = 1 + ot + to + tt, self.y, self.same
+        gold = np.array([np.sum(same & ~y[:-1] & y[1:]) + y[self.starts].sum(), np.sum(same & y[:-1] & ~y[1:]), np.sum(same & y[:-1] & y[1:])], float)
+        t = gold - np.array([np.sum((ot / z)[same]) + p[self.starts].sum(), np.sum((to / z)[same]), np.sum((tt / z)[same])])
+        err, part = y - p, np.zeros(len(act))
+        for r, c_ in zip(self.rows, self.cols):
+            part += np.bincount(c_, err[r], minlength=len(act))
+        return part, err.sum(), t
 
 
 def fit_texts(texts: list[str | None], toxic: list[int], prior: float | None = None, epochs: int = 30) -> Field:
@@ -187,56 +223,53 @@ def fit_texts(texts: list[str | None], toxic: list[int], prior: float | None = N
     model = Field()
     if not y_doc.any() or y_doc.all():
         return model
-    w = tv.words(pa.array([texts[i] for i in keep], pa.large_string()))
-    y = _labelled_words(w, y_doc)
+    # whole texts, some at a time, so that memory is that of the features alone
+    slots, counts = [], []
+    for b in tv.slices(pa.RecordBatch.from_arrays([pa.array([texts[i] for i in keep], pa.large_string())], ["text"]), "text"):
+        w = tv.words(b.column("text"))
+        slots.append(features(w))
+        counts.append(w.counts)
+    x = [np.concatenate(c) for c in zip(*slots)]
+    counts = np.concatenate(counts)
+    del slots
+    word_doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    y = _labelled_words(x[: 1 + len(PREFIXES)], word_doc, y_doc)
     if not y.any():
         return model
-    x = features(w)
-    size, n = 1 << BITS, len(w.hash)
-    theta = np.zeros(size + 4)
-    theta[size] = np.log(max(y.mean(), 1e-6))
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    same = w.doc[1:] == w.doc[:-1]
-    gold = np.array([np.sum(same & ~y[:-1] & y[1:]), np.sum(same & y[:-1] & ~y[1:]), np.sum(same & y[:-1] & y[1:])], float)
-    starts = w.first[:-1][w.counts > 0]
-    gold[0] += y[starts].sum()
-    touched = np.zeros(size + 4, bool)
-    touched[size:] = True
+    size = 1 << BITS
+    touched = np.zeros(size, bool)
     for s in x:
         touched[s[y]] = True
     idx = np.flatnonzero(touched)
-    slot_of = np.full(size, -1)
-    slot_of[idx[idx < size]] = np.arange((idx < size).sum())
-    compact = [(np.flatnonzero(slot_of[s] >= 0), slot_of[s][slot_of[s] >= 0]) for s in x]
+    place = np.full(size, -1, np.int32)
+    place[idx] = np.arange(len(idx))
+    ends = np.r_[0, np.cumsum(counts)]
+    parts, at = [], 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + 150_000, side="right")) - 1)
+        lo, hi = ends[at], ends[to]
+        found = [place[s[lo:hi]] for s in x]
+        rows = [np.flatnonzero(v >= 0).astype(np.int32) for v in found]
+        parts.append(_Part(ends[at : to + 1] - lo, y[lo:hi], rows, [v[r] for v, r in zip(found, rows)]))
+        at = to
+    del x, word_doc
+    theta = np.zeros(len(idx) + 4)  # active weights, bias, transitions
+    theta[len(idx)] = np.log(max(y.mean(), 1e-6))
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for epoch in range(1, epochs + 1):
-        score = np.full(n, theta[size])
-        act = theta[idx[idx < size]]
-        for rows, cols in compact:
-            score[rows] += act[cols]
-        trans = theta[size + 1 :]
-        f, g, e = messages(score, w.first, trans)
-        p = f * g / (1 + f * g)
-        a, b, c = np.exp(np.clip(trans, -15, 15))
-        f0, q = f[:-1], e[1:] * g[1:]
-        ot, to, tt = a * q, b * f0, c * f0 * q
-        z = 1 + ot + to + tt
-        model_t = np.array([np.sum((ot / z)[same]) + p[starts].sum(), np.sum((to / z)[same]), np.sum((tt / z)[same])])
-        err = y - p
-        grad = np.zeros_like(theta)
-        part = np.zeros(len(act))
-        for rows, cols in compact:
-            part += np.bincount(cols, err[rows], minlength=len(act))
-        grad[idx[idx < size]] = part - 0.05 * act
-        grad[size] = err.sum()
-        grad[size + 1 :] = gold - model_t - 0.1 * trans
-        gsub = grad[idx]
-        m1[idx] = 0.8 * m1[idx] + 0.2 * gsub
-        m2[idx] = 0.95 * m2[idx] + 0.05 * gsub**2
-        step = m1[idx] / (1 - 0.8**epoch) / (np.sqrt(m2[idx] / (1 - 0.95**epoch)) + 1e-8)
-        theta[idx] += 0.35 * step
-    model.weights = theta[:size].astype(np.float32)
-    model.bias, model.trans = float(theta[size]), theta[size + 1 :].copy()
-    ev = evidence(model.words(w), w.first)
+        act, bias, trans = theta[: len(idx)], theta[len(idx)], theta[len(idx) + 1 :]
+        grad = np.r_[-0.05 * act, 0.0, -0.1 * trans]
+        for part in parts:
+            g, e, t = part.gradient(act, bias, trans)
+            grad += np.r_[g, e, t]
+        m1 = 0.8 * m1 + 0.2 * grad
+        m2 = 0.95 * m2 + 0.05 * grad**2
+        theta = theta + 0.35 * (m1 / (1 - 0.8**epoch)) / (np.sqrt(m2 / (1 - 0.95**epoch)) + 1e-8)
+    act, bias, trans = theta[: len(idx)], theta[len(idx)], theta[len(idx) + 1 :]
+    model.weights = np.zeros(size, np.float32)
+    model.weights[idx] = act
+    model.bias, model.trans = float(bias), trans.copy()
+    ev = np.concatenate([evidence(marginals(part.score(act, bias), part.first, trans), part.first) for part in parts])
     share = y_doc.mean()
     prior = share if prior is None else min(max(prior, 1e-4), 1 - 1e-4)
     weight = np.where(y_doc, prior / share, (1 - prior) / (1 - share))
@@ -268,10 +301,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             texts += b.column("text").to_pylist()
             toxic += b.column("y").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(texts, toxic, prior))], pa.binary())], ["model"])
+        model = fit_texts(texts, toxic, prior)
+        tv.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # one task of an executor fits, so that the sample never comes to the driver
-    return pickle.loads(sample.repartition(1).sortWithinPartitions("id").mapInArrow(run, "model binary").first()["model"])
+    got = sample.repartition(1).sortWithinPartitions("id").mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else Field()
 
 
 def _tagged(model, threshold: float, least: float, spans: bool):
