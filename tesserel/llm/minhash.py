@@ -26,7 +26,7 @@ from tesserel.llm.components import components, find_roots
 from tesserel.llm.keys import id_key, keyed, sized, text_key
 from tesserel.plans import shared
 
-SLOTS, BAND_ROWS, GRAM, THRESHOLD = 128, 4, 3, 0.55
+SLOTS, BAND_ROWS, GRAM, THRESHOLD = 128, 3, 3, 0.45
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
