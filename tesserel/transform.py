@@ -114,8 +114,8 @@ class SQLProjection(_Authored):
 
     def _planned(self) -> freeze.Plan:
         for item in self._tree.get("select_list", []):
-            if (item.get("alias") or "").startswith("__cf_"):
-                raise Unsupported("unsupported: names that start with __cf_ are reserved")
+            if (item.get("alias") or "").startswith("__"):
+                raise Unsupported("unsupported: names that start with __ are reserved")
         return freeze.plan_projection(self._tree, f"__params_{self._id}_")
 
     def transform(self, df: DataFrame) -> Any:
