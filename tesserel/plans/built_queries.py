@@ -124,6 +124,20 @@ def group_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", F.floor(F.col("z") * 1e4 + 0.5).cast("double").alias("z0")).select("p_partkey", (F.col("z0") / 1e4).alias("z"))
 
 
+@built("member_call", f"SELECT a.o_orderkey, {r('a.o_totalprice - (SELECT avg(o_totalprice) FROM orders o WHERE o.o_custkey = a.o_custkey)', 2)} AS d FROM orders a")
+def member_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders")
+    centred = SQLProjection("SELECT o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey) AS d FROM __THIS__")
+    return SQLTransform(f"SELECT o_orderkey, {r('d', 2)} AS d FROM centred(__FIT__, __THIS__)", members={"centred": centred}).fit(df).transform(df)
+
+
+@built("model_in_text", f"SELECT p_partkey, {r('(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand)) / nullif(stddev_pop(p_retailprice) OVER (PARTITION BY p_brand), 0)')} AS z FROM part")
+def model_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part")
+    std = GroupModels("std", Standardise, [], ["z"])
+    return SQLProjection(f"SELECT p_partkey, {r('std_transform(std_fit(p_retailprice) OVER (PARTITION BY p_brand), p_retailprice).z')} AS z FROM __THIS__", models={"std": std}).fit(df).transform(df)
+
+
 _NODES = [(0, 0, 0, 0, 1, 2, 20.0, 0.0, True), (0, 0, 1, -1, -1, -1, 0.0, 1.5, False), (0, 0, 2, 1, 3, 4, 1200.0, 0.0, False), (0, 0, 3, -1, -1, -1, 0.0, 2.5, False), (0, 0, 4, -1, -1, -1, 0.0, -1.0, False), (0, 1, 0, 1, 1, 2, 1000.0, 0.0, True), (0, 1, 1, -1, -1, -1, 0.0, 0.25, False), (0, 1, 2, -1, -1, -1, 0.0, 0.75, False)]
 _TREE_SQL = "SELECT p_partkey, 0.5e0 + (CASE WHEN p_size <= 20 THEN 1.5e0 ELSE CASE WHEN p_retailprice <= 1200 THEN 2.5e0 ELSE -1.0e0 END END) + (CASE WHEN p_retailprice <= 1000 THEN 0.25e0 ELSE 0.75e0 END) AS prediction FROM part"
 

@@ -193,3 +193,32 @@ def test_operators_on_odd_rows(spark):
     assert asof_join(a.limit(0), b, "t", ["k"]).count() == 0
     got = positional_join(a.selectExpr("t AS x"), b.selectExpr("v AS y"), ["x"], ["y"]).collect()
     assert sorted((r.x, r.y) for r in got if r.x is not None) == [(5, "n"), (7, "x"), (10, "y"), (20, "z")] and len(got) == 5
+
+
+def test_members_are_spliced(spark, train):
+    scale = SQLProjection("SELECT name, country, age - avg(age) OVER (PARTITION BY country) AS d FROM __THIS__")
+    top = SQLTransform("SELECT t.name, t.m - (SELECT min(fare) FROM __FIT__) AS x FROM __THIS__ q JOIN (SELECT name, max(fare) OVER () AS m FROM __THIS__) t ON q.name = t.name")
+    both = SQLTransform("SELECT a.name AS name, a.d AS d, b.x AS x FROM scale(__FIT__, __THIS__) a JOIN top(__FIT__, __THIS__) b ON a.name = b.name", members={"scale": scale, "top": top}).fit(train)
+    want = {r.name: r.d for r in scale.fit(train).transform(train).collect()}
+    got = both.transform(train).collect()
+    assert {r.name: r.d for r in got} == want and len(got) == 7 and {r.x for r in got} == {6}
+    assert oracle.of(scale.two_parameter().fit(train).transform(train)) == oracle.of(scale.transform(train))
+    new = train.limit(0).union(spark.createDataFrame([("fr", "p", 31.0, 5, "q")], train.schema))
+    assert [tuple(r) for r in both.transform(new).collect()] == [("q", 1.0, 4)]
+    with pytest.raises(errors.Unsupported):
+        SQLTransform("SELECT * FROM scale(__FIT__, 1 + 1)", members={"scale": scale})
+
+
+def test_fitted_objects_inside_a_text(spark, train):
+    std = GroupModels("std", Standardise, [], ["z"])
+    p = SQLProjection("SELECT name, std(fare).z AS a, std_transform(std_fit(fare) FILTER (WHERE fare IS NOT NULL) OVER (PARTITION BY country), fare).z AS b, std_fit(fare) OVER (PARTITION BY country) AS th FROM __THIS__ WHERE fare IS NOT NULL", models={"std": std}).fit(train.where("fare IS NOT NULL"))
+    out = {r.name: r for r in p.transform(train).collect()}
+    known = [r.fare for r in train.where("fare IS NOT NULL").collect()]
+    mean = sum(known) / len(known)
+    dev = (sum((x - mean) ** 2 for x in known) / len(known)) ** 0.5
+    assert abs(out["f"].a - (1 - mean) / dev) < 1e-9 and abs(out["b"].b - 2**0.5) < 1e-9 and out["a"].th.type == "std"
+    assert out["a"].th == out["g"].th != out["f"].th
+    q = SQLProjection("SELECT name, unnest(std(fare)) FROM __THIS__", models={"std": std}).fit(train.where("fare IS NOT NULL"))
+    assert q.get_feature_names_out() == ["name", "z"]
+    with pytest.raises(errors.Unsupported):
+        SQLProjection("SELECT std(fare) AS x FROM __THIS__", models={"std": std})
