@@ -17,7 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def r(x: str, n: int = 4) -> str:
-    return f"floor({x} * 1e{n} + 0.5) / 1e{n}"
+    return f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
 
 
 SQL: dict[str, str] = {
