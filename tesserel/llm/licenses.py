@@ -205,8 +205,10 @@ def likeness(text: str, family: str) -> float:
 def fit(docs: DataFrame, id_col: str, text_col: str, sample_lines: int = SAMPLE_LINES) -> Model:
     """Train on the templates and at most ``sample_lines`` ordinary lines: the first and middle line of documents by hash."""
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), parts.alias("p")).orderBy("h").limit(sample_lines // 2)
-    rows = rows.select("h", F.explode(F.array(F.col("p")[0], F.element_at("p", (F.size("p") / 2).cast("int") + 1))).alias("line"))
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), parts.alias("p"))
+    # the least hashes first, alone: a bounded broadcast, and no task gathers the texts of many others
+    least = keyed.select("h").distinct().orderBy("h").limit(sample_lines // 2)
+    rows = keyed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).select("h", F.explode(F.array(F.col("p")[0], F.element_at("p", (F.size("p") / 2).cast("int") + 1))).alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [t for b in batches for t in b.column("line").to_pylist() if t and not re.search("(?i)licen[sc]|spdx|copyright", t)]
