@@ -184,7 +184,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     ``group_id`` is the least id in the group (nulls last), ``rank`` 1 marks the one
     that stays: the row with that id, ties going to the lesser text hash. Repeated
     rows are ranked one after another. A text without words (null, empty, signs
-    only) is a group of its own whatever else is empty. Other columns are ignored.
+    only) is in a group with repetitions of its own row only. Other columns are ignored.
     """
     spark = docs.sparkSession
     signed = shared.table(signatures(docs, id_col, text_col, slots, band_rows, gram), "signatures")
@@ -196,7 +196,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     edges = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verified(slots, threshold), "a binary, b binary").distinct()
     edges = shared.table(edges, "edges")
     roots = components(edges).withColumnRenamed("node", "seq")
-    label = F.when(F.col("words") > 0, F.coalesce("root", "seq")).otherwise(F.encode(F.concat_ws("/", "k1", "k2", F.monotonically_increasing_id()), "utf-8"))
+    label = F.when(F.col("words") > 0, F.coalesce("root", "seq")).otherwise(F.encode(F.concat_ws("/", "k1", "k2"), "utf-8"))
     named = signed.select("k1", "k2", "id", "words", "seq").join(roots, "seq", "left").select("k1", "k2", "id", label.alias("label"))
     per = Window.partitionBy("label")
     ranked = per.orderBy(F.col("id").asc_nulls_last(), "k1", "k2")
