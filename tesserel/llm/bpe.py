@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
+from tesserel.llm.keys import bounded
 
 VOCABULARY = os.environ.get("TESSEREL_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 KEPT_WORDS = 400_000
@@ -313,7 +314,7 @@ def op5_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     texts have no tokens; the length of a text isn't limited; repeated rows are encoded
     each; null ids are kept; other columns are ignored.
     """
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    vocab = bounded(docs).sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encoded(vocab), f"id {kind}, n_tokens int, tokens array<int>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)

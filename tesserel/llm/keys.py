@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+ROWS_KEY, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches bounded at 2000 rows unless the user has set another bound than Spark's.
+
+    Texts are long: at Spark's 10000 rows, batches take a good part of an executor's memory.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ROWS_KEY) == "10000":
+        conf.set(ROWS_KEY, ROWS)
+    return df
+
+
 def id_key(id_col: str) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.xxhash64(F.col(id_col)))
 
@@ -24,7 +38,7 @@ def text_key(text_col: str) -> Column:
 
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Columns k1, k2, id, text (and no others, so that no names can clash)."""
-    return df.select(id_key(id_col).alias("k1"), text_key(text_col).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return bounded(df).select(id_key(id_col).alias("k1"), text_key(text_col).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

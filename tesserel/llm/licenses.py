@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
+from tesserel.llm.keys import bounded
 
 BITS, SAMPLE_LINES, CONFIRM = 18, 2000, 0.5
 U64 = np.uint64
@@ -256,6 +257,6 @@ def op9_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored. A line of equal scores goes to the first family by name order
     of the templates. ``sample_lines`` bounds only what ordinary lines training sees.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample_lines))
+    model = bounded(docs).sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample_lines))
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanned(model, confirm), f"id {kind}, family string, start int, end int, probability double, likeness double").withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tesserel.llm import textvec as tv
-from tesserel.llm.keys import id_key, text_key
+from tesserel.llm.keys import bounded, id_key, text_key
 from tesserel.plans import shared
 
 THRESHOLD, SUPPORT, PREFIX = 0.9, 3, 4
@@ -171,7 +171,7 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The lowest bit of an act tells a term that is generalised from one that is removed.
     """
-    src = docs.select(_doc_key(id_col, text_col).alias("dk"), text_key(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
+    src = bounded(docs).select(_doc_key(id_col, text_col).alias("dk"), text_key(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
     found = shared.table(src.mapInArrow(_detected, "dk bigint, k2 bigint, eh bigint"), "entities")
     often = found.groupBy("eh").agg(F.count("*").alias("n_c"), F.count_distinct("k2").alias("texts")).where(F.col("texts") >= support).select("eh", "n_c")
     held = shared.table(found.join(often.select("eh"), "eh", "left_semi").groupBy("dk").agg(F.collect_set("eh").alias("ehs")), "held")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
-from tesserel.llm.keys import id_key, text_key
+from tesserel.llm.keys import bounded, id_key, text_key
 from tesserel.plans import shared
 
 MIN_WORDS, GRAM = 50, 12
@@ -148,7 +148,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """((dk, repeats, drops) of documents with repeats, (dk, id) of all with at least ``min_words``)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(_doc_key(id_col, text_col).alias("dk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = bounded(docs).select(_doc_key(id_col, text_col).alias("dk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     seeds = shared.table(src.mapInArrow(_anchors(min_words, gram), f"dk bigint, id {kind}, anchors array<struct<h:bigint,ctx:bigint,pos:int,cs:int,ce:int>>"), "seeds")
     flat = seeds.select("dk", F.explode("anchors").alias("a")).select("dk", "a.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
-from tesserel.llm.keys import id_key
+from tesserel.llm.keys import bounded, id_key
 from tesserel.plans import shared
 
 MAX_DOCS = 1200
@@ -343,7 +343,7 @@ def op7_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     repeated rows are scored each; null ids are kept; other columns are ignored. Without
     labels of both classes nothing is toxic.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_docs=max_docs))
+    model = bounded(docs).sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_docs=max_docs))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tagged(model, threshold, span_threshold, True), f"id {kind}, score double, toxic boolean, spans array<struct<start:int,end:int>>")
     return out.select(F.col("id").alias(id_col), "score", "toxic", "spans")
@@ -351,7 +351,7 @@ def op7_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs`` without the rows that are toxic; all columns, one pass, no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_docs=max_docs))
+    model = bounded(docs).sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_docs=max_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
