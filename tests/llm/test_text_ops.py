@@ -184,6 +184,29 @@ def test_fingerprints_on_messy_rows(spark):
     assert fingerprints.op3_fingerprints(messy.empty(spark)).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    rng = random.Random(9)
+    bag = ["".join(rng.choice("abcdefghijklmnopr") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    rows = []
+    for i in range(150):
+        w = rng.choices(bag, k=rng.choice([20, 60, 250]))
+        rate = rng.choice([0.02, 0.05, 0.1, 0.14])
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(rng.choice(bag) if rng.random() < rate else x for x in w))]
+    grams = [set(zip(*(t.split()[k:] for k in range(3)))) for _, t in rows]
+    true = {(a, b) for a, b in itertools.permutations(range(len(rows)), 2) if rows[a][1] != rows[b][1] and len(grams[a] & grams[b]) >= 0.6 * len(grams[a])}
+    got = {(r.doc_id, r.container_id) for r in fingerprints.op3_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(true) > 150 and len(true & got) >= 0.9 * len(true)
+    assert all(a // 2 == b // 2 for a, b in got)
+
+
+def test_chunks_do_not_depend_on_the_document_before():
+    a, b = "some words that go before", "the same text in another batch of documents"
+    both, alone = (tv.utf8(pa.array(x, pa.string())) for x in ([a, b], [b]))
+    d, s, e = fingerprints.chunks(tv.fold(both[0]), both[1])
+    _, s1, e1 = fingerprints.chunks(tv.fold(alone[0]), alone[1])
+    assert (s[d == 1] - len(a)).tolist() == s1.tolist() and (e[d == 1] - len(a)).tolist() == e1.tolist()
+
+
 # ---- 4: packing
 
 
