@@ -5,11 +5,15 @@ runs a permutation of the slots drawn from its own hash, and its j-th draw lies
 [j, j + 1), so an element's ranks are correlated (lower variance than independent
 minima) and a document stops as soon as draws of the next round can't win.
 Signatures are cut in bands; documents that agree in a band are compared by their
-whole signatures; union-find over the verified pairs forms the groups.
+whole signatures, which only rules out pairs far below the threshold. Every pair that
+is left is verified by the exact Jaccard similarity of the shingle sets; union-find over
+the verified pairs forms the groups.
 
 No bucket is capped. Documents with the same word sequence are first taken
-together. Within a bucket every pair that isn't connected yet is compared, so the
-groups are the same as if all pairs of the bucket had been.
+together. Within a bucket, pairs far above the threshold are verified unless others of
+them connect their documents already. If one of those fails all the same, its buckets
+are gone through again pair by pair, so the groups are the same as if all pairs of the
+bucket that the signatures allow had been verified.
 """
 
 from __future__ import annotations
@@ -137,26 +141,32 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed(docs, id_col, text_col).mapInArrow(_signed(slots, band_rows, gram), f"k1 bigint, k2 bigint, id {kind}, words bigint, seq binary, sig binary, bands array<bigint>")
 
 
-def _verified(m: int, threshold: float):
-    # b-bit slots of 16 bits agree by chance once in 65536, which needs no correction here
-    need = int(np.ceil(threshold * m - 1e-9))
+def _likely(m: int, threshold: float, skip: bool = True):
+    """Pairs of a bucket to verify; ``far`` marks those far above the threshold, which stand for others if ``skip``."""
+    # four standard deviations of the number of equal slots on either side
+    slack = 4 * np.sqrt(m * threshold * max(0.0, 1 - threshold))
+    need, sure = max(1, int(np.ceil(threshold * m - slack))), int(np.ceil(threshold * m + slack)) if skip else m + 1
 
-    def bucket(sig: np.ndarray) -> np.ndarray:
-        """Roots of the rows under all pairs that agree in at least ``need`` slots."""
+    def bucket(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(row, later rows, far) of the pairs: a spanning forest of the far ones, and all others across its trees."""
         n = len(sig)
         root = np.arange(n)
+        same = lambda i, part: np.concatenate([(sig[p] == sig[i]).sum(1) for p in np.array_split(part, len(part) // 8192 + 1)])
         for i in range(n - 1):
             rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-            if not len(rest):
+            if not skip or not len(rest):
                 continue
-            for part in np.array_split(rest, len(rest) // 8192 + 1):
-                near = part[(sig[part] == sig[i]).sum(1) >= need]
-                if len(near):
-                    old = np.unique(root[np.append(near, i)])
-                    root[np.isin(root, old)] = old[0]
-            if not root.any():
-                break
-        return root
+            near = rest[same(i, rest) >= sure]
+            # one row of each tree is enough
+            near = near[np.unique(root[near], return_index=True)[1]]
+            if len(near):
+                yield i, near, True
+                old = np.unique(root[np.append(near, i)])
+                root[np.isin(root, old)] = old[0]
+        for i in range(n - 1):
+            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            if len(rest):
+                yield i, rest[same(i, rest) >= need], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tv.whole_groups(batches, "bucket"):
@@ -165,19 +175,60 @@ def _verified(m: int, threshold: float):
             sizes = np.diff(np.r_[heads, len(key)])
             sig = tv.from_binary(b.column("sig"), np.uint16, m)
             two = heads[sizes == 2]
-            ok = (sig[two] == sig[two + 1]).sum(1) >= need
-            x, y = [two[ok]], [two[ok] + 1]
+            equal = (sig[two] == sig[two + 1]).sum(1)
+            ok = equal >= need
+            x, y, z = [two[ok]], [two[ok] + 1], [equal[ok] >= sure]
             for h, s in zip(heads[sizes > 2], sizes[sizes > 2]):
-                root = bucket(sig[h : h + s])
-                own = np.flatnonzero(root != np.arange(s))
-                x.append(h + root[own])
-                y.append(h + own)
-            seq = b.column("seq")
-            yield pa.RecordBatch.from_arrays([seq.take(pa.array(np.concatenate(x))), seq.take(pa.array(np.concatenate(y)))], ["a", "b"])
+                for i, rows, far in bucket(sig[h : h + s]):
+                    x.append(np.full(len(rows), h + i))
+                    y.append(h + rows)
+                    z.append(np.full(len(rows), far))
+            seq, x, y = b.column("seq"), np.concatenate(x), np.concatenate(y)
+            yield pa.RecordBatch.from_arrays([seq.take(pa.array(x)), seq.take(pa.array(y)), pa.array(np.concatenate(z))], ["a", "b", "far"])
+
+    return run
+
+
+def _sets(gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tv.slices(batch, "text"):
+                w = tv.words(b.column("text"))
+                g, doc = shingles(w, gram)
+                order = np.lexsort((g, doc))
+                g, doc = g[order], doc[order]
+                one = np.r_[True, (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])] if len(g) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column("seq"), tv.lists(g[one].view(np.int64), np.bincount(doc[one], minlength=b.num_rows))], ["seq", "grams"])
 
     return run
 
 
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact similarity of two sets each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            key, n = [], []
+            for c in ("x", "y"):
+                size = np.diff(b.column(c).offsets.to_numpy())
+                key.append(tv.mix(b.column(c).flatten().to_numpy().view(U64) ^ tv.mix(np.repeat(np.arange(b.num_rows), size).astype(U64))))
+                n.append(size.astype(np.int64))
+            hit = np.r_[0, np.cumsum(np.isin(key[0], key[1]))]
+            ends = np.r_[0, np.cumsum(n[0])]
+            both = hit[ends[1:]] - hit[ends[:-1]]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("far"), pa.array(both / np.maximum(n[0] + n[1] - both, 1))], ["a", "b", "far", "jaccard"])
+
+
+def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFrame:
+    """(a, b, far, jaccard) of every pair; only documents in a pair have their shingles made again."""
+    need = pairs.select(F.col("a").alias("seq")).union(pairs.select(F.col("b").alias("seq"))).distinct()
+    rows = shared.table(reps.join(need, "seq", "left_semi").select("row.k1", "row.k2", "seq"), "compared")
+    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(sized(rows, rows.count()), ["k1", "k2"]).select("seq", "text")
+    sets = shared.table(texts.mapInArrow(_sets(gram), "seq binary, grams array<bigint>"), "sets").groupBy("seq").agg(F.first("grams").alias("grams"))
+    sides = pairs.join(sets.withColumnsRenamed({"seq": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"seq": "b", "grams": "y"}), "b")
+    return sides.select("a", "b", "far", "x", "y").mapInArrow(_jaccard, "a binary, b binary, far boolean, jaccard double")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, band_rows: int = BAND_ROWS, gram: int = GRAM) -> DataFrame:
     """One row per input row: (k1, k2, id, group_id, group_size, rank).
 
@@ -189,11 +240,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     spark = docs.sparkSession
     signed = shared.table(signatures(docs, id_col, text_col, slots, band_rows, gram), "signatures")
     # the same word sequence has the same signature: one stands for all
-    reps = shared.table(signed.where("words > 0").groupBy("seq").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "representatives")
+    reps = shared.table(signed.where("words > 0").groupBy("seq").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row")), "representatives")
     buckets = reps.select("seq", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.collect_list("seq").alias("seqs")).where(F.size("seqs") > 1)
     pairs = buckets.select("bucket", F.explode("seqs").alias("seq")).join(reps.select("seq", "sig"), "seq")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verified(slots, threshold), "a binary, b binary").distinct()
+
+    def compared(pairs: DataFrame, skip: bool) -> DataFrame:
+        likely = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_likely(slots, threshold, skip), "a binary, b binary, far boolean")
+        likely = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").groupBy("a", "b").agg(F.max("far").alias("far"))
+        return shared.table(_compared(shared.table(likely, "likely"), reps, docs, id_col, text_col, gram), "verified")
+
+    passed = F.col("jaccard") >= threshold - 1e-9
+    seen = compared(pairs, True)
+    edges = seen.where(passed).select("a", "b")
+    failed = seen.where(F.col("far") & ~passed).select("a", "b")
+    if failed.count():
+        ends = failed.select(F.col("a").alias("seq")).union(failed.select(F.col("b").alias("seq"))).distinct()
+        again = pairs.join(pairs.join(ends, "seq", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+        edges = edges.union(compared(again.select("bucket", "seq", "sig"), False).where(passed).select("a", "b")).distinct()
     edges = shared.table(edges, "edges")
     roots = components(edges).withColumnRenamed("node", "seq")
     label = F.when(F.col("words") > 0, F.coalesce("root", "seq")).otherwise(F.encode(F.concat_ws("/", "k1", "k2"), "utf-8"))

@@ -570,6 +570,25 @@ def test_near_duplicates_by_brute_force(spark):
         assert [r.doc_id for r in rs if r.keep] == [g] == [min(r.doc_id for r in rs)] and all(r.group_size == len(rs) for r in rs)
 
 
+@pytest.mark.parametrize("own, one", [(72, False), (50, True)])
+def test_groups_go_by_exact_similarity(spark, own, one):
+    shared_ = " ".join(f"s{i}" for i in range(102))
+    rows = [(k, shared_ + "".join(f" d{k}x{i}" for i in range(own))) for k in range(60)]
+    near = _near(rows)
+    assert all((j >= minhash.THRESHOLD) == one and 0.4 < j < 0.51 for j in near.values())
+    got = [r.group_id for r in minhash.op10_minhash(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    assert len(set(got)) == (1 if one else 60)
+
+
+def test_far_pairs_that_fail_have_their_buckets_gone_through(spark, monkeypatch):
+    sigs = np.zeros((3, 128), np.uint16)
+    sigs[2, :64] = 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 3), pa.array([b"a", b"b", b"c"], pa.binary()), tv.fixed_binary(sigs)], ["bucket", "seq", "sig"])
+    pairs = lambda skip: {(r["a"], r["b"], r["far"]) for b in minhash._likely(128, 0.45, skip)(iter([batch])) for r in b.to_pylist()}
+    assert pairs(True) == {(b"a", b"b", True), (b"a", b"c", False), (b"b", b"c", False)}
+    assert pairs(False) == {(b"a", b"b", False), (b"a", b"c", False), (b"b", b"c", False)}
+
+
 def test_components_by_rounds_are_those_of_one_task(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
