@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserel.llm import minhash, packing, pii, substring
+from tesserel.llm import bpe, minhash, packing, pii, substring
 from tesserel.llm import toxicity as toxic
 from tesserel.plans import shared
 
@@ -42,7 +42,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows are packed into batches of like length."""
-    return packing.op4_packing(docs)
+    return packing.op4_packing(docs, vocabulary=bpe.VOCABULARY)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substrings", substrings), ("pii", private), ("packing", batches)]

@@ -278,13 +278,19 @@ def pretokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _workers: dict[int, Encoder] = {}
 
 
+def encoder(v: Vocabulary) -> Encoder:
+    """The encoder that this worker keeps for ``v``."""
+    enc = _workers.get(id(v))
+    if enc is None:
+        _workers.clear()
+        enc = _workers[id(v)] = Encoder(v)
+    return enc
+
+
 def _encoded(vocab):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        enc = _workers.get(id(v))
-        if enc is None:
-            _workers.clear()
-            enc = _workers[id(v)] = Encoder(v)
+        enc = encoder(v)
         for batch in batches:
             for b in tv.slices(batch, "text", 2_000_000):
                 n, ids, buf, offs = enc.encode(b.column("text"))

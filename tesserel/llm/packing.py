@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserel.llm import bpe
 from tesserel.llm import textvec as tv
 from tesserel.llm.keys import keyed
 from tesserel.plans import shared
@@ -88,23 +89,37 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
+def _tokens(vocab):
+    """Lengths in tokens of op5's encoder, whole texts; the tokens themselves aren't kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoder(vocab.value)
+        for batch in batches:
+            n = [enc.encode(b.column("text"))[0] for b in tv.slices(batch, "text", 2_000_000)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("k1", "k2", "id")] + [pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))], ["k1", "k2", "id", "length"])
+
+    return run
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [pieces(*tv.utf8(b.column("text"))) for b in tv.slices(batch, "text", 2_000_000)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("k1", "k2", "id")] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["k1", "k2", "id", "length"])
 
 
-def op4_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def op4_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, length, bucket, bound, batch, slot) for every row of ``docs``.
 
-    ``length`` counts pieces of the whole text, 0 for null and empty texts; ``bucket``
+    ``length`` counts tokens of the whole text by the vocabulary at that path, or pieces
+    if there is none; it is 0 for null and empty texts; ``bucket``
     is the smallest whose ``bound`` fits; ``batch`` numbers the batches of a bucket,
     ``slot`` the rows in a batch. bound * rows stays within ``budget``, but for a single
     document that is longer, which has a batch to itself. Repeated rows have slots each;
     null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sized = shared.table(keyed(docs, id_col, text_col).mapInArrow(_measured, f"k1 bigint, k2 bigint, id {kind}, length bigint"), "lengths")
+    measure = _tokens(docs.sparkSession.sparkContext.broadcast(bpe.vocabulary(vocabulary))) if vocabulary else _measured
+    sized = shared.table(keyed(docs, id_col, text_col).mapInArrow(measure, f"k1 bigint, k2 bigint, id {kind}, length bigint"), "lengths")
     histogram = sorted((r["length"], r["n"]) for r in sized.groupBy("length").agg(F.count("*").alias("n")).collect())
     bounds, _ = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     total = sum(n for _, n in histogram)

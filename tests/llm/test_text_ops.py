@@ -251,6 +251,18 @@ def test_packing_numbers_across_tasks(spark, monkeypatch):
     _check_batches(packing.op4_packing(table(spark, "documents"), buckets=3, budget=4096).collect(), 200, 4096)
 
 
+def test_packing_query_counts_tokens(spark):
+    from tesserel.llm import queries
+
+    docs = table(spark, "documents").collect()
+    rows = queries.queries()["op4_packing"](spark, SF).collect()
+    n = dict(zip([r.doc_id for r in docs], bpe.Encoder(bpe.vocabulary()).encode(pa.array([r.text for r in docs], pa.large_string()))[0].tolist()))
+    assert {r.doc_id: r.length for r in rows} == n
+    _check_batches(rows, len(docs), packing.BUDGET)
+    long = spark.createDataFrame([(1, "日本語" * 9000), (2, "x")], "doc_id int, text string")
+    assert max(r.length for r in packing.op4_packing(long, vocabulary=bpe.VOCABULARY).collect()) > 9000
+
+
 def test_packing_messy_rows(spark):
     rows = packing.op4_packing(messy.documents(spark), budget=1000).collect()
     _check_batches(rows, len(messy.ROWS), 1000)
