@@ -480,6 +480,13 @@ def test_url_query_equals_its_sql_and_messy_rows(spark):
     assert not any(r.blocked for r in urls.op8_urls(pages, block).collect())
 
 
+def test_listed_names_are_blocked_under_other_domains(spark):
+    name = re.compile(r"://(?:[^/@]*[.@])?(?:casino-win|free-bets|cheap-pills|spam-farm|adult-x|ads-track)\.example\.[a-z]+(?:[:/?#]|$)")
+    got = [r for sf in ("0.001", "0.1") for r in urls.op8_urls(table(spark, "pages", f"/root/testdata/sf{sf}")).collect()]
+    want = [bool(name.search(r.url or "")) for r in got]
+    assert [r.blocked for r in got] == want and sum(want) > 130
+
+
 # ---- 9: licences
 
 
