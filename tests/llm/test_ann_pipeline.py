@@ -14,80 +14,137 @@ from tesserel.llm import ann, minhash, pii, substring, toxicity  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-def _recall(rows, ids, x, k):
+def _brute(x, k):
+    """The k nearest other rows of each row, ties by the lesser index."""
+    x = x.astype(np.float64)
+    out = []
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        out.append(np.lexsort((np.arange(len(x)), d))[:k])
+    return np.array(out)
+
+
+def _frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>")
+
+
+def _recall(rows, x, k=10):
     got = collections.defaultdict(set)
     for r in rows:
         got[r.vec_id].add(r.neighbour_id)
-    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
-    np.fill_diagonal(d, np.inf)
-    true = np.argpartition(d, k, axis=1)[:, :k]
-    return np.mean([len(got[i] & {ids[j] for j in t}) / k for i, t in zip(ids, true)])
+    return np.mean([len(got[i] & set(t)) / k for i, t in enumerate(_brute(x, k).tolist())])
 
 
-def test_recall_of_a_deep_forest(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    data = df.collect()
-    ids, x = [r.vec_id for r in data], np.array([r.embedding for r in data], np.float32)
-    rows = ann.op1_ann(df, leaf_rows=128).collect()
-    assert len(rows) == 10 * len(ids) and _recall(rows, ids, x, 10) >= 0.9
-    at = {i: n for n, i in enumerate(ids)}
-    for r in rows[:200]:
-        assert abs(r.distance - np.linalg.norm(x[at[r.vec_id]] - x[at[r.neighbour_id]])) < 1e-3
+def test_recall_by_default_parameters(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    noise = np.array([r.embedding for r in data], np.float32)
+    rng = np.random.default_rng(0)
+    clusters = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 5 + rng.normal(size=(3000, 16)) * 0.05).astype(np.float32)
+    offset = (100 + rng.normal(size=(1000, 64)) * 0.01).astype(np.float32)
+    for x, least in ((noise, 0.93), (clusters, 0.95), (offset, 0.95)):
+        rows = ann.op1_ann(_frame(spark, x)).collect()
+        assert len(rows) == 10 * len(x) and _recall(rows, x) >= least
+        for r in rows[:300]:
+            assert abs(r.distance - np.linalg.norm(x[r.vec_id].astype(float) - x[r.neighbour_id])) < 1e-9
 
 
-def test_clustered_rows_need_few_leaves(spark):
+def test_clustered_rows_rank_few(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 5 + rng.normal(size=(3000, 16)) * 0.05).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, v array<float>")
-    forest = ann.plant(rows, 3000, 16, leaf_rows=64)
-    assert ann.calibrated(rows, forest, 5, sample=64) < 0.2 * (forest.trees << forest.depth)
+    rows = _frame(spark, x).selectExpr("vec_id AS key", "embedding AS v").cache()
+    best, reach = ann.search(rows, 3000, 16)
+    assert best.count() == 30000
+    # what the trees propose to a query, its own leaves included, by the same rule
+    pool, depth = ann.directions(16), int(np.ceil(np.log2(3000 / ann.LEAF_ROWS)))
+    p, n = x.astype(float) @ pool.T, np.zeros(3000)
+    far = np.sqrt([(np.sort(((x.astype(float) - v) ** 2).sum(1))[10]) for v in x.astype(float)])
+    for t in range(ann.TREES):
+        sub = ann.Subtree.grow(x.astype(float), pool, t, 1, depth)
+        m, _ = sub.margins(p, np.zeros(3000))
+        n += ((m <= 1.2 * reach * far[:, None]) * np.bincount(sub.leaf, minlength=1 << depth)).sum(1)
+    assert n.mean() < 0.4 * 3000  # of eight trees together
 
 
 def test_levels_over_the_table_split_as_tasks_do(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = df.selectExpr("vec_id AS key", "embedding AS v")
-    f = ann.plant(rows, rows.count(), 64, trees=3, leaf_rows=32, group_rows=128)
-    leaf = f.route(np.array([r.v for r in rows.collect()], np.float32))
-    for t in leaf:
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()], np.float32)
+    rows = _frame(spark, x).selectExpr("vec_id AS key", "embedding AS v").cache()
+    f = ann.plant(rows, len(x), 64, trees=3, leaf_rows=32, cell_rows=64)
+    assert f.top == 3 and f.depth == 4
+    for t in f.cells(x.astype(float) @ ann.directions(64).T):
         sizes = collections.Counter(t.tolist())
-        assert max(sizes.values()) <= 40 and min(sizes.values()) >= 20
+        assert len(sizes) == 8 and max(sizes.values()) <= 80 and min(sizes.values()) >= 40
+    best, _ = ann.search(rows, len(x), 64, 10, leaf_rows=32, cell_rows=64)
+    assert _recall([collections.namedtuple("R", "vec_id neighbour_id")(r.q, r.near) for r in best.collect()], x) >= 0.9
+
 
+def test_the_queue_is_that_of_all_trees():
+    import heapq
 
-def test_the_queue_is_that_of_all_trees(spark):
     rng = np.random.default_rng(1)
-    f = ann.Forest(8, 4, rng.normal(size=(3, 16)))
-    x = rng.normal(size=(20, 8)).astype(np.float32)
-    p = x @ ann.directions(8).T
-    few, every = f.visit(x, 7), f.visit(x, 48)
-    for i in range(20):
-        import heapq
-
-        heap, order = [(0.0, t, 1) for t in range(3)], []
-        while heap and len(order) < 7:
-            c, t, n = heapq.heappop(heap)
-            if n >= 16:
-                order.append(c)
-                continue
-            gap = float(p[i, ann.direction_of(np.array([t]), np.array([n]))[0]] - f.thresholds[t, n])
-            heapq.heappush(heap, (max(c, max(gap, 0.0)), t, 2 * n))
-            heapq.heappush(heap, (max(c, max(-gap, 0.0)), t, 2 * n + 1))
-        cost = {}
-        for leaf in every[i]:
-            t, n, c = int(leaf >> 40), int(leaf & ((1 << 40) - 1)), 0.0
-            while n > 1:
-                gap = float(p[i, ann.direction_of(np.array([t]), np.array([n // 2]))[0]] - f.thresholds[t, n // 2])
-                c = max(c, max(gap, 0.0) if n % 2 == 0 else max(-gap, 0.0))
-                n //= 2
-            cost[int(leaf)] = c
-        assert np.allclose(sorted(cost[int(v)] for v in few[i]), order, atol=1e-5)
+    x = rng.normal(size=(200, 8))
+    pool, top, levels = ann.directions(8), 2, 3
+    p = x[:20] @ pool.T
+    forest = ann.Forest(8, top, top + levels, rng.normal(size=(3, 4)) * 0.3)
+    cells = {}
+    for t in range(3):
+        at = forest.cells(x @ pool.T)[t]
+        for node in range(4, 8):
+            cells[t, node] = ann.Subtree.grow(x[at == node], pool, t, node, levels)
+
+    def threshold(t, n):
+        if n < 1 << top:
+            return forest.thresholds[t, n]
+        up = n.bit_length() - 1 - top
+        return cells[t, n >> up].thresholds[(1 << up) + (n & ((1 << up) - 1))]
+
+    for limit in (0.01, 0.4, 0.9, 5.0):
+        row, tree, node = forest.reached(p, np.full(20, limit))
+        reached = set(zip(row.tolist(), tree.tolist(), node.tolist()))
+        for i in range(20):
+            heap, want = [(0.0, t, 1) for t in range(3)], set()
+            while heap and heap[0][0] <= limit:  # the queue, until its least is beyond the limit
+                c, t, n = heapq.heappop(heap)
+                if n >= 1 << (top + levels):
+                    want.add((t, n))
+                    continue
+                gap = float(p[i, ann.direction_of(np.array([t]), np.array([n]))[0]] - threshold(t, n))
+                heapq.heappush(heap, (c + max(gap, 0.0), t, 2 * n))
+                heapq.heappush(heap, (c + max(-gap, 0.0), t, 2 * n + 1))
+            got = set()
+            for (t, node), sub in cells.items():
+                m, _ = sub.margins(p[i : i + 1], forest.cost_of(p[i : i + 1], t, node)[0])
+                hit = np.flatnonzero(m[0] <= limit + 1e-6)
+                assert not len(hit) or (i, t, node) in reached
+                got |= {(t, (node << levels) + int(h)) for h in hit}
+            assert got == want
+
+
+def test_ties_and_copies_go_to_the_lesser_id(spark):
+    rng = np.random.default_rng(2)
+    grid = np.repeat(rng.integers(0, 3, size=(60, 3)), 1, axis=0).astype(np.float32)
+    x = np.concatenate([grid, np.tile(np.float32([[9, 9, 9]]), (400, 1))])
+    want = _brute(x, 10)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = collections.defaultdict(list)
+        for r in ann.op1_ann(_frame(spark, x)).collect():
+            got[r.vec_id].append((r.rank, r.neighbour_id, r.distance))
+        assert all([n for _, n, _ in sorted(got[i])] == want[i].tolist() for i in range(len(x)))
+        assert all(d == 0 for _, _, d in got[100])
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_vectors_that_are_odd(spark):
-    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (None, [0.0, 2.0]), (4, None), (5, []), (6, [1.0]), (7, [1.0, None]), (8, [float("nan"), 1.0])]
+    inf = float("inf")
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [-0.0, 0.0]), (3, [1.0, 0.0]), (None, [0.0, 2.0]), (4, None), (5, []), (6, [1.0]), (7, [1.0, None]), (8, [float("nan"), 1.0]), (9, [inf, 0.0]), (10, [0.0, -inf])]
     df = spark.createDataFrame([(*r, None, None) for r in rows], "vec_id int, embedding array<double>, key string, v string")
     got = sorted(((r.vec_id, r.neighbour_id, r.rank) for r in ann.op1_ann(df, k=2).collect()), key=str)
     assert {g[:2] for g in got if g[0] == 1} == {(1, 2), (1, 3)} and {g[0] for g in got} == {1, 2, 3, None} and len(got) == 8
+    assert {r.distance for r in ann.op1_ann(df, k=1).collect() if r.vec_id == 1} == {0.0}
     assert ann.op1_ann(df.limit(0)).count() == 0 and ann.op1_ann(df.where("vec_id = 3")).count() == 0
+    huge = _frame(spark, np.array([[3e38, 0], [-3e38, 0], [1, 1], [1, 2]]))
+    assert [r.neighbour_id for r in ann.op1_ann(huge, k=1).orderBy("vec_id").collect()] == [2, 2, 3, 2]
 
 
 def test_pipeline_stage_by_stage(spark):
