@@ -552,16 +552,104 @@ def test_licence_lines_are_found_and_others_not(spark):
     assert got == want
 
 
-def test_licence_classifier_on_held_out_wording():
-    model = licenses.train(["ther anly with of the reon and thtion", "Der die und nicht ein"] * 50)
-    yes = {"This software is released under the MIT license, copyright 2021 J. Doe": "MIT", "licensed under the apache license version 2.0": "Apache-2.0", "Distributed under the GNU General Public License version 3": "GPL-3.0", "This text is licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Code under the Mozilla Public License 2.0": "MPL-2.0"}
-    no = ["He got his driving license in version 2 of the test", "the public was free to go", "a word", "permission to land was granted by the tower"]
-    w, line, first = licenses.lines(pa.array([*yes, *no], pa.string()))
-    p = model.probabilities(model.logits(w, line, len(first)))
-    sure = [(licenses.FAMILIES[i], x >= model.least) for i, x in zip(p[:, :-1].argmax(1), p[:, :-1].max(1))]
-    assert [f for f, ok in sure[: len(yes)]] == list(yes.values())
-    hits = [ok and licenses.likeness(t, f) >= licenses.CONFIRM for (f, ok), t in zip(sure, [*yes, *no])]
-    assert sum(hits[: len(yes)]) >= 4 and not any(hits[len(yes) :])
+@pytest.fixture(scope="module")
+def licence_model():
+    import duckdb
+
+    lines = [x for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall() for x in t.split("\n")[:2] if x and "icens" not in x]
+    return licenses.train(lines[:2000]), lines
+
+
+def _families(model, text):
+    return [(licenses.FAMILIES[c], text[s:e]) for _, c, s, e, _, _ in licenses.scan(model, pa.array([text]))]
+
+
+def test_licences_of_sibling_families(licence_model):
+    yes = {
+        "GPL-2.0": "Licensed under the GNU General Public License, version 2.", "LGPL-2.1": "Released under the GNU Lesser General Public License, version 2.1", "AGPL-3.0": "licensed under the GNU Affero General Public License version 3", "GPL": "Released under the GNU General Public License.",
+        "BSD-2-Clause": "Released under the BSD 2-Clause License.", "BSD-3-Clause": "under the terms of the 3-clause BSD license", "CC-BY-SA-4.0": "This work is licensed under CC BY-SA 4.0", "CC-BY-4.0": "licensed under a Creative Commons Attribution 4.0 International License", "ISC": "Released under the ISC License",
+        "MPL-2.0": "Code under the Mozilla Public License 2.0", "CC0-1.0": "Released under CC0 1.0", "Unlicense": "This is free and unencumbered software released into the public domain.", "Apache-2.0": "licensed under the apache license version 2.0",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    }
+    assert {f: [g for g, _ in _families(licence_model[0], t)] for f, t in yes.items()} == {f: [f] for f in yes}
+    for t in ("of the License", "GNU General", "Licensed under the Eclipse Public License 2.0", "Licensed under CC BY 3.0", "Released under the Apache License, Version 1.1", "He got his driving license in version 2 of the test", "permission to land was granted by the tower", "the public was free to go", "a word"):
+        assert _families(licence_model[0], t) == []
+
+
+def test_licences_inside_long_text(licence_model):
+    rng, bag = random.Random(1), [w for x in licence_model[1] for w in x.split()]
+    notices = ["Licensed under CC BY-NC 4.0", "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3", "Licensed under the Apache License, Version 2.0"]
+    for n in (30, 500, 5000):
+        hits = 0
+        for i in range(40):
+            words, at = [rng.choice(bag) for _ in range(n)], rng.randrange(n)
+            got = _families(licence_model[0], " ".join([*words[:at], notices[i % 4] + ".", *words[at:]]))
+            hits += len(got) == 1 and got[0][0] == ("CC-BY-NC-4.0", "MIT", "GPL-3.0", "Apache-2.0")[i % 4]
+        assert hits >= 39
+    assert _families(licence_model[0], " ".join(rng.choice(bag) for _ in range(20_000))) == []
+
+
+def _scanned_slowly(model, text):
+    """Paragraphs, windows, scores, joined windows and confirmed passages, one after another."""
+    out = []
+    for para in re.finditer(r"(?:(?![\r\n][ \t\v\f]*\r?[\n]|\r[^\n][ \t]*\n)[\s\S])+", text):
+        ms = list(WORD.finditer(text, para.start(), para.end()))
+        h = tv.words(pa.array([" ".join(m.group() for m in ms)])).hash if ms else []
+        one = [int(model.row[int(tv.mix(np.array([x + np.uint64(11)], np.uint64))[0]) % 2**licenses.BITS]) for x in h]
+        two = [int(model.row[int(tv.mix(np.array([x], np.uint64) * tv.STEP1 + y)[0]) % 2**licenses.BITS]) for x, y in zip(h, h[1:])]
+        spans, n = {}, len(ms)
+        for k, size in enumerate(licenses.SIZES):
+            if n > size:
+                for a in [*range(0, n - size, size // 4), n - size]:
+                    spans[a, a + size] = 1
+            elif n and (k == 0 or n > licenses.SIZES[k - 1]):
+                spans[0, n] = 1
+        sure = []
+        for a, b in sorted(spans):
+            z = (model.bias + sum(model.weights[r] for r in one[a:b]) + sum(model.weights[r] for r in two[a : b - 1])) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            if 1 - p[-1] >= model.least:
+                if sure and a < sure[-1][1] + 4 * licenses.AROUND:
+                    sure[-1] = (sure[-1][0], max(b, sure[-1][1]), np.maximum(p, sure[-1][2]))
+                else:
+                    sure.append((a, b, p))
+        for a, b, p in sure:
+            lo, hi = max(0, a - 2 * licenses.AROUND), min(n, b + 2 * licenses.AROUND)
+            for s, e, c, like in licenses.passages([m.group().lower() for m in ms[lo:hi]], {c: p[c] for c in range(len(p) - 1) if p[c] >= licenses.PROPOSED}, licenses.CONFIRM):
+                out.append((c, ms[lo + s].start(), ms[lo + e - 1].end(), round(float(p[c]), 6), round(like, 6)))
+    return out
+
+
+def test_licence_scan_by_brute_force(licence_model):
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) < 6000 ORDER BY doc_id").fetchall()]
+    texts += ["a b\n\nReleased under the MIT License.\n \nLicensed under\nCC BY 4.0. " + " ".join(f"w{i}" for i in range(90)) + " Released under the ISC License", "", "x", "Licensed under the MIT License and under the Apache License 2.0"]
+    got = collections.defaultdict(list)
+    for d, c, s, e, p, like in licenses.scan(licence_model[0], pa.array(texts, pa.large_string())):
+        got[d].append((c, s, e, round(p, 6), round(like, 6)))
+    assert len(got) >= 5
+    for i, t in enumerate(texts):
+        assert got[i] == _scanned_slowly(licence_model[0], t), t
+
+
+def test_likeness_by_brute_force():
+    rng = random.Random(4)
+    pool = [x for t in licenses.TEMPLATES["MPL-2.0"] for x in licenses.tokens(t)] + ["of", "the", "zebra"]
+    for _ in range(300):
+        words = [rng.choice(pool) for _ in range(rng.randrange(12))] + ["licensed", "under", "the", "mozilla", "public", "license", "version", "2", "0"][: rng.randrange(10)] + [rng.choice(pool) for _ in range(rng.randrange(12))]
+        best = 0.0
+        for t in licenses.TEMPLATES["MPL-2.0"]:
+            grams = set(zip(licenses.tokens(t), licenses.tokens(t)[1:]))
+            hit = [i for i in range(len(words) - 1) if (words[i], words[i + 1]) in grams]
+            for i, j in itertools.combinations_with_replacement(hit, 2):
+                run = [x for x in hit if i <= x <= j]
+                if all(b - a <= licenses.GAP + 1 for a, b in zip(run, run[1:])) and not any(x < i and i - x <= licenses.GAP + 1 or x > j and x - j <= licenses.GAP + 1 for x in hit):
+                    own = set(words[max(0, i - licenses.AROUND) : j + 2 + licenses.AROUND])
+                    if {"mozilla", "public", "2"} <= own or {"mpl", "2"} <= own or {"mozilla", "public", "v2"} <= own:
+                        best = max(best, min(1.0, len({(words[x], words[x + 1]) for x in run}) / min(len(grams), max(j - i + 1, licenses.LEAST_BIGRAMS))))
+        got = licenses.compared(words, "MPL-2.0", 0.5)
+        assert max((x[2] for x in got), default=0.0) == pytest.approx(best if best >= 0.5 else 0.0)
 
 
 def test_licences_in_messy_rows(spark):
