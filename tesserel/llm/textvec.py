@@ -21,7 +21,6 @@ SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(0x7E55E2E1)
 BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-GEAR32 = _rng.integers(0, 2**32, 256, dtype=np.uint32) & np.uint32(0xFF000000)
 BASE = U64(0x9E3779B97F4A7C15)
 UNBASE = U64(pow(int(BASE), -1, 2**64))
 STEP1, STEP2 = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)

@@ -178,7 +178,7 @@ def _chunks_slowly(data: bytes):
         for e in range(s + fingerprints.LEAST, cut + 1):
             h = 0
             for b in data[max(0, e - 32) : e]:
-                h = (h * 2 + int(tv.GEAR32[b])) & 0xFFFFFFFF
+                h = (h * 2 + int(fingerprints.GEAR[b])) & 0xFFFFFFFF
             bits = fingerprints.STRICT_BITS if e < s + fingerprints.USUAL else fingerprints.LOOSE_BITS
             if h >> (32 - bits) == 0:
                 cut = min(e, len(data))
@@ -207,32 +207,54 @@ def test_boundaries_move_with_the_text():
     assert len(sets[0] & sets[1]) > 0.9 * len(sets[0])
 
 
+def test_texts_are_chunked_as_words():
+    texts = ["A b--C\n\nd", "", "!!", "x", "  lead", "ÀÉ ß"]
+    buf, offs = fingerprints.spelled(pa.array(texts))
+    got = [buf[a:b].tobytes().decode() for a, b in zip(offs, offs[1:])]
+    assert got == ["a b c d", "", "", "x", "lead", "àé ß"]
+
+
 def _contained(rows, threshold):
     parts = {}
     for i, t in rows:
-        if t:
-            low = tv.fold(np.frombuffer(t.encode(), np.uint8))
-            d, s, e = fingerprints.chunks(low, np.array([0, len(low)]))
+        if WORD.search(t or ""):
+            low, offs = fingerprints.spelled(pa.array([t]))
+            d, s, e = fingerprints.chunks(low, offs)
             parts.setdefault(frozenset(low[a:b].tobytes() for a, b in zip(s, e)), []).append(i)
     first = {k: min(v, key=lambda x: (x is None, x)) for k, v in parts.items()}
-    out = collections.Counter((m, first[k], 1.0) for k, v in parts.items() for m in sorted(v, key=lambda x: (x is None, x))[1:])
+    out = collections.Counter((m, first[k], 1.0, True) for k, v in parts.items() for m in sorted(v, key=lambda x: (x is None, x))[1:])
     for a, b in itertools.permutations(parts, 2):
         c = sum(map(len, a & b)) / sum(map(len, a))
         if c >= threshold:
-            out[(first[a], first[b], round(c, 9))] += 1
+            out[(first[a], first[b], round(c, 9), False)] += 1
     return out
 
 
-def test_containment_by_brute_force(spark):
+def _found(df):
+    return collections.Counter((r.doc_id, r.container_id, round(r.containment, 9), r.same) for r in df.collect())
+
+
+def test_containment_by_brute_force(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     rows += [(1000 + i, rows[i][1] + " tail " + rows[i + 1][1]) for i in range(20)] + [(2000 + i, rows[i][1]) for i in range(5)]
-    got = collections.Counter((r.doc_id, r.container_id, round(r.containment, 9)) for r in fingerprints.op3_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect())
-    assert got == _contained(rows, fingerprints.THRESHOLD) and len(got) > 20
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = _contained(rows, fingerprints.THRESHOLD)
+    assert _found(fingerprints.op3_fingerprints(docs)) == want and len(want) > 20
+    monkeypatch.setattr(fingerprints, "COMMON", 10)  # many chunks are common then
+    assert _found(fingerprints.op3_fingerprints(docs)) == want
+
+
+def test_a_chunk_in_all_documents(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopr") for _ in range(7))
+    notice = " ".join(word() for _ in range(30))
+    rows = [(i, f"{notice} {' '.join(word() for _ in range(150 if i % 7 else 20))}") for i in range(150)]
+    got = _found(fingerprints.op3_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")))
+    assert got == _contained(rows, fingerprints.THRESHOLD) and {a for a, *_ in got} == set(range(0, 150, 7))
 
 
 def test_fingerprints_on_messy_rows(spark):
-    got = collections.Counter((r.doc_id, r.container_id, r.containment) for r in fingerprints.op3_fingerprints(messy.documents(spark)).collect())
-    assert got == _contained(messy.ROWS, fingerprints.THRESHOLD)
+    assert _found(fingerprints.op3_fingerprints(messy.documents(spark))) == _contained(messy.ROWS, fingerprints.THRESHOLD)
     assert fingerprints.op3_fingerprints(messy.empty(spark)).count() == 0
 
 
@@ -251,6 +273,21 @@ def test_edited_copies_are_found(spark):
     assert all(a // 2 == b // 2 for a, b in got)
 
 
+def test_near_copies_of_the_tables_are_found(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.01").dropDuplicates(["text"])
+    grams = {}
+    for r in docs.collect():
+        w = [x.lower() for x in WORD.findall(r.text)]
+        if len(r.text.encode()) >= 100:
+            grams[r.doc_id] = set(zip(w, w[1:], w[2:]))
+    true = {(a, b) for a, b in itertools.permutations(grams, 2) if len(grams[a] & grams[b]) >= 0.6 * len(grams[a])}
+    rows = fingerprints.op3_fingerprints(docs).collect()
+    first = {r.doc_id: r.container_id for r in rows if r.same}
+    got = {(r.doc_id, r.container_id) for r in rows if not r.same}
+    hit = sum(first.get(a, a) == first.get(b, b) or (first.get(a, a), first.get(b, b)) in got for a, b in true)
+    assert len(true) > 30 and hit >= 0.9 * len(true)
+
+
 def test_chunks_do_not_depend_on_the_document_before():
     a, b = "some words that go before", "the same text in another batch of documents"
     both, alone = (tv.utf8(pa.array(x, pa.string())) for x in ([a, b], [b]))
