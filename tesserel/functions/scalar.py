@@ -58,19 +58,72 @@ def log(x: str, y: str | None = None) -> str:
     return _log("log10")(x) if y is None else f"({_log('log10')(y)} / {_log('log10')(x)})"
 
 
+#: From here on every double is an integer.
+WHOLE = "4503599627370496D"
+
+
+def whole(name: str, x: str) -> str:
+    """floor or ceil of a double as a double: any size, infinities, NaN and the sign of zero kept."""
+    d = _dbl(x)
+    up = f" WHEN {d} < 0 AND {d} > -1 THEN -0.0D" if name == "ceil" else ""
+    return f"(CASE WHEN abs({d}) >= {WHOLE} OR isnan({d}) OR {d} = 0 THEN {d}{up} ELSE CAST({name}({d}) AS DOUBLE) END)"
+
+
 def round_(x: str, n: str | None = None) -> str:
     """Half away from zero, scaled first and rounded then."""
     if n is None:
         return f"round({x}, 0)"
-    p = f"power(10D, {n})"
-    return f"(sign({_dbl(x)}) * CAST(floor(abs({_dbl(x)} * {p}) + 0.5D) AS DOUBLE) / {p})"
+    d, p = _dbl(x), f"power(10D, {n})"
+    return f"(CASE WHEN abs({d} * {p}) >= {WHOLE} OR isnan({d}) OR {d} = 0 THEN {d} WHEN {d} < 0 THEN -(CAST(floor(abs({d} * {p}) + 0.5D) AS DOUBLE) / {p}) ELSE CAST(floor({d} * {p} + 0.5D) AS DOUBLE) / {p} END)"
 
 
 def trunc(x: str, n: str | None = None) -> str:
+    d = _dbl(x)
     if n is not None:
         p = f"power(10D, {n})"
-        return f"({trunc(f'({_dbl(x)} * {p})')} / {p})"
-    return f"(CASE WHEN {x} < 0 THEN {_dbl(f'ceil({x})')} ELSE {_dbl(f'floor({x})')} END)"
+        return f"(CASE WHEN abs({d} * {p}) >= {WHOLE} THEN {d} ELSE {trunc(f'({d} * {p})')} / {p} END)"
+    return f"(CASE WHEN abs({d}) >= {WHOLE} OR isnan({d}) OR {d} = 0 THEN {d} WHEN {d} < 0 THEN -CAST(floor(-{d}) AS DOUBLE) ELSE CAST(floor({d}) AS DOUBLE) END)"
+
+
+def fmod(x: str, y: str) -> str:
+    """x - floor(x / y) * y."""
+    return f"({_dbl(x)} - {whole('floor', divide(x, y))} * {_dbl(y)})"
+
+
+def text_of_double(x: str) -> str:
+    """The shortest digits, with an exponent below 1e-4 and from 1e16 on."""
+    s = f"CAST({x} AS STRING)"
+    plain = f"regexp_replace(regexp_replace(CAST(CAST({s} AS DECIMAL(38, 20)) AS STRING), '0+$', ''), '[.]$', '.0')"
+    short = f"regexp_replace(regexp_replace(regexp_replace({s}, '[.]0E', 'E'), 'E(-?)([0-9])$', 'E$10$2'), 'E([0-9])', 'E+$1')"
+    return f"(CASE WHEN isnan({x}) THEN 'nan' WHEN abs({x}) = double('Infinity') THEN IF({x} > 0, 'inf', '-inf') WHEN {x} = 0 OR (abs({x}) >= 1e-3D AND abs({x}) < 1e7D) THEN {s} WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN {plain} ELSE lower({short}) END)"
+
+
+_STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "a": "E", "A": "EEEE", "b": "MMM", "B": "MMMM", "p": "a", "f": "SSSSSS", "g": "SSS", "%": "'%'"}
+
+
+def strftime(d: str, fmt: str) -> str:
+    if not fmt.startswith("'"):
+        d, fmt = fmt, d
+    text, out, i = _const(fmt, "the format"), "", 0
+    while i < len(text):
+        if text[i] == "%" and i + 1 < len(text):
+            if text[i + 1] not in _STRFTIME:
+                raise Unsupported(f"unsupported: %{text[i + 1]} in strftime")
+            out += _STRFTIME[text[i + 1]]
+            i += 1
+        else:
+            out += "''" if text[i] == "'" else f"'{text[i]}'" if text[i].isalpha() else text[i]
+        i += 1
+    return f"date_format({d}, {quote(out)})"
+
+
+def slice_(a: str, lo: str | None, hi: str | None, string: bool) -> str:
+    """a[lo:hi], 1-based, both ends in; negative positions count from the end, open ends reach to it."""
+    n = f"char_length({a})" if string else f"size({a})"
+    at = lambda x: f"(CASE WHEN {x} < 0 THEN {n} + {x} + 1 ELSE {x} END)"
+    start = f"greatest({at(lo)}, 1)" if lo is not None else "1"
+    size = f"greatest({at(hi) if hi is not None else n} - {start} + 1, 0)"
+    return f"substring({a}, CAST({start} AS INT), CAST({size} AS INT))" if string else f"slice({a}, CAST({start} AS INT), CAST({size} AS INT))"
 
 
 def substring(s: str, start: str, length: str | None = None) -> str:
@@ -194,8 +247,10 @@ def glob(s: str, p: str) -> str:
 
 
 def cast(x: str, to: str, attempt: bool = False, source: str | None = None) -> str:
-    """Casts; a double to an integer type goes to the nearest, half to even."""
+    """Casts; a fraction goes to the nearest integer, half to even, a literal like 2.5 as the double that it would be in a column."""
     name = "TRY_CAST" if attempt else "CAST"
+    if to == "STRING" and source in ("double", "float"):
+        return text_of_double(x)
     if to in ("TINYINT", "SMALLINT", "INT", "BIGINT"):
         if source == "fraction":
             return f"{name}(rint(CAST({x} AS DOUBLE)) AS {to})"
@@ -237,7 +292,7 @@ def _trim(side: str) -> Call:
 FUNCTIONS: dict[str, Call] = {
     "+": _infix("+"), "-": _infix("-"), "*": _infix("*"), "add": _infix("+"), "subtract": _infix("-"), "multiply": _infix("*"), "/": divide, "//": int_divide, "divide": int_divide, "%": modulo, "mod": modulo,
     "<<": lambda x, y: f"shiftleft({x}, CAST({y} AS INT))", ">>": lambda x, y: f"shiftright({x}, CAST({y} AS INT))", "&": _infix("&"), "|": _infix("|"), "xor": _infix("^"), "||": lambda a, b: f"(CAST({a} AS STRING) || CAST({b} AS STRING))", "concat": concat, "concat_ws": concat_ws,
-    "upper": _same("upper", 1), "ucase": _same("upper", 1), "lower": _same("lower", 1), "lcase": _same("lower", 1), "strlen": _same("octet_length", 1, kind="BIGINT"), "bit_length": _same("bit_length", 1, kind="BIGINT"),
+    **{n: (lambda x: f"upper(replace({x}, 'ß', 'ẞ'))") for n in ("upper", "ucase")}, **{n: (lambda x: f"lower(replace({x}, 'İ', 'i'))") for n in ("lower", "lcase")}, "strlen": _same("octet_length", 1, kind="BIGINT"), "bit_length": _same("bit_length", 1, kind="BIGINT"),
     **{n: _same("char_length", 1, kind="BIGINT") for n in ("length", "len", "char_length", "character_length")},
     "trim": _trim("BOTH"), "ltrim": _trim("LEADING"), "rtrim": _trim("TRAILING"), "substring": substring, "substr": substring, **{n: _same("instr", 2, kind="BIGINT") for n in ("instr", "strpos", "position")},
     "contains": _same("contains", 2), **{n: _same("startswith", 2) for n in ("starts_with", "prefix", "^@")}, **{n: _same("endswith", 2) for n in ("ends_with", "suffix")},
@@ -248,12 +303,12 @@ FUNCTIONS: dict[str, Call] = {
     "damerau_levenshtein": _same("tess_damerau", 2), "strip_accents": _same("tess_strip_accents", 1), "reverse": _same("tess_reverse", 1), "nextafter": lambda x, y: f"tess_nextafter({_dbl(x)}, {_dbl(y)})",
     "~~": like, "!~~": lambda s, p: f"(NOT {like(s, p)})", "~~*": lambda s, p: like(s, p, fold=True), "!~~*": lambda s, p: f"(NOT {like(s, p, fold=True)})", "like_escape": like, "not_like_escape": lambda s, p, e: f"(NOT {like(s, p, e)})", "ilike_escape": lambda s, p, e: like(s, p, e, True), "not_ilike_escape": lambda s, p, e: f"(NOT {like(s, p, e, True)})", "~~~": glob,
     "regexp_matches": regexp_matches, "regexp_full_match": regexp_full_match, "regexp_extract": regexp_extract, "regexp_replace": regexp_replace, "regexp_split_to_array": lambda s, p: f"split({s}, {quote(pattern(p)[0])})", "string_split": lambda s, p: f"split({s}, concat('\\\\Q', {p}, '\\\\E'))", "regexp_extract_all": lambda s, p, g="0": f"regexp_extract_all({s}, {quote(pattern(p)[0])}, {g})",
-    "abs": _same("abs", 1), "round": round_, "trunc": trunc, **{n: (lambda f: lambda x: _dbl(f"{f}({x})"))(f) for n, f in (("floor", "floor"), ("ceil", "ceil"), ("ceiling", "ceil"))},
+    "abs": _same("abs", 1), "round": round_, "trunc": trunc, **{n: (lambda f: lambda x: whole(f, x))(f) for n, f in (("floor", "floor"), ("ceil", "ceil"), ("ceiling", "ceil"))},
     "sqrt": lambda x: f"sqrt({_dbl(x)})", "cbrt": lambda x: f"cbrt({_dbl(x)})", "ln": _log("ln"), "log2": _log("log2"), "log10": _log("log10"), "log": log, "exp": lambda x: f"exp({_dbl(x)})", "pow": lambda x, y: f"power({_dbl(x)}, {_dbl(y)})", "power": lambda x, y: f"power({_dbl(x)}, {_dbl(y)})", "**": lambda x, y: f"power({_dbl(x)}, {_dbl(y)})",
-    "sin": _same("sin", 1), "cos": _same("cos", 1), "tan": _same("tan", 1), "pi": lambda: "pi()", "fdiv": lambda x, y: _dbl(f"floor({divide(x, y)})"), "fmod": lambda x, y: f"({_dbl(x)} - floor({divide(x, y)}) * {_dbl(y)})", "sign": lambda x: f"CAST(sign({x}) AS TINYINT)", "isnan": _same("isnan", 1),
+    "sin": _same("sin", 1), "cos": _same("cos", 1), "tan": _same("tan", 1), "pi": lambda: "pi()", "fdiv": lambda x, y: whole("floor", divide(x, y)), "fmod": fmod, "sign": lambda x: f"CAST(sign({x}) AS TINYINT)", "isnan": _same("isnan", 1),
     "coalesce": lambda *x: f"coalesce({', '.join(x)})", "nullif": _same("nullif", 2), "least": _same("least", 2, 99), "greatest": _same("greatest", 2, 99), "if": _same("if", 3), "ifnull": _same("ifnull", 2),
     "date_part": date_part, "date_trunc": lambda p, d: f"CAST(date_trunc({p}, {d}) AS TIMESTAMP_NTZ)", **{n: (lambda p: lambda d: date_part(quote(p), d))(n) for n in ("year", "month", "day", "hour", "minute", "second", "quarter", "dayofweek", "dayofyear", "week", "weekofyear", "isodow", "epoch")}, "date_diff": lambda p, a, b: f"CAST(datediff({b}, {a}) AS BIGINT)" if _const(p, "the part").lower() == "day" else f"CAST(timestampdiff({_const(p, 'the part')}, date_trunc({p}, {a}), date_trunc({p}, {b})) AS BIGINT)",
-    "list_value": lambda *x: f"array({', '.join(x)})", "array_extract": _same("try_element_at", 2), "list_extract": _same("try_element_at", 2), "list_transform": _same("transform", 2), "list_filter": _same("filter", 2), "array_length": _same("size", 1, kind="BIGINT"), "list_contains": _same("array_contains", 2), "list_sort": lambda a: f"sort_array({a})", "list_sum": lambda a: f"aggregate({a}, CAST(0 AS DOUBLE), (s, v) -> s + v)", "row": lambda *x: f"struct({', '.join(x)})", "struct_extract": lambda s, f: f"{s}.{_const(f, 'the field')}", "map": lambda k, v: f"map_from_arrays({k}, {v})", "range": lambda *x: f"sequence({', '.join(x)})", "unnest": _same("explode", 1),
+    "list_value": lambda *x: f"array({', '.join(x)})", "array_extract": _same("try_element_at", 2), "list_extract": _same("try_element_at", 2), "list_transform": _same("transform", 2), "list_filter": _same("filter", 2), "array_length": _same("size", 1, kind="BIGINT"), "list_contains": _same("array_contains", 2), "list_sort": _same("array_sort", 1), "array_sort": _same("array_sort", 1), "list_reverse_sort": lambda a: f"reverse(array_sort({a}))", "list_distinct": lambda a: f"array_distinct(filter({a}, x -> x IS NOT NULL))", "split_part": lambda s, d, n: f"split_part({s}, {d}, CAST({n} AS INT))", "strftime": strftime, "printf": lambda f, *x: f"format_string({', '.join((f, *x))})", "list_sum": lambda a: f"aggregate({a}, CAST(0 AS DOUBLE), (s, v) -> s + v)", "row": lambda *x: f"struct({', '.join(x)})", "struct_extract": lambda s, f: f"{s}.{_const(f, 'the field')}", "map": lambda k, v: f"map_from_arrays({k}, {v})", "range": lambda *x: f"sequence({', '.join(x)})", "unnest": _same("explode", 1),
     "to_days": lambda x: f"make_dt_interval(CAST({x} AS INT))", "to_hours": lambda x: f"make_dt_interval(0, CAST({x} AS INT))", "to_minutes": lambda x: f"make_dt_interval(0, 0, CAST({x} AS INT))", "to_seconds": lambda x: f"make_dt_interval(0, 0, 0, {x})", "to_months": lambda x: f"make_ym_interval(0, CAST({x} AS INT))", "to_years": lambda x: f"make_ym_interval(CAST({x} AS INT))", "to_weeks": lambda x: f"make_dt_interval(7 * CAST({x} AS INT))",
 }
 

@@ -56,22 +56,30 @@ class PythonUDF:
     def column_function(self):
         fn, kind, struct = self.fn, _type(self.returns), isinstance(self.returns, dict)
         fields = list(self.returns) if struct else []
+        out = _arrow(self.returns)
 
-        def call(*cols: pd.Series) -> pd.DataFrame | pd.Series:
-            rows = [fn(*(None if x is None or x is pd.NA or (isinstance(x, float) and x != x and c.dtype == object) else x for x, c in zip(r, cols))) for r in zip(*cols)]
+        def call(*cols: pa.Array) -> pa.Array:
+            rows = [fn(*r) for r in zip(*[c.to_pylist() for c in cols])]
             if struct:
-                rows = [r if isinstance(r, dict) else dict(zip(fields, r)) if r is not None else dict.fromkeys(fields) for r in rows]
-                return pd.DataFrame(rows, columns=fields)
-            return pd.Series(rows, dtype=object)
+                rows = [r if r is None or isinstance(r, dict) else dict(zip(fields, r)) for r in rows]
+                rows = [dict.fromkeys(fields) if r is None else r for r in rows]
+            return pa.array(rows, out)
 
         n = len(self.takes)
-        # pandas_udf reads the signature, so it gets one with as many named arguments
+        # arrow_udf reads the signature, so it gets one with as many named arguments
         names = ", ".join(f"a{i}" for i in range(n))
-        hints = ", ".join(f"a{i}: pd.Series" for i in range(n))
-        out = "pd.DataFrame" if struct else "pd.Series"
-        scope: dict[str, Any] = {"pd": pd, "call": call}
-        exec(f"def wrapped({hints}) -> {out}:\n    return call({names})", scope)  # noqa: S102
-        return F.pandas_udf(scope["wrapped"], kind)
+        hints = ", ".join(f"a{i}: pa.Array" for i in range(n))
+        scope: dict[str, Any] = {"pa": pa, "call": call}
+        exec(f"def wrapped({hints}) -> pa.Array:\n    return call({names})", scope)  # noqa: S102
+        return F.arrow_udf(scope["wrapped"], kind)
+
+
+def _arrow(t: Any) -> pa.DataType:
+    if isinstance(t, dict):
+        return pa.struct([(k, _arrow(v)) for k, v in t.items()])
+    if isinstance(t, list):
+        return pa.list_(_arrow(t[0]))
+    return {"bool": pa.bool_(), "int64": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]
 
 
 class GroupModels:
