@@ -117,6 +117,23 @@ def udf_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", F.call_function(name, F.col("p_size").cast("bigint")).alias("s")).select("p_partkey", F.col("s.tens").cast("int").alias("tens"), F.col("s.ones").cast("int").alias("ones"))
 
 
+@built("unnest_udf", "SELECT p_partkey, p_size // 10 AS tens, p_size % 10 AS ones FROM part")
+def unnest_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = PythonUDF("tess_digits", lambda x: {"tens": x // 10, "ones": x % 10}, ("int64",), {"tens": "int64", "ones": "int64"})
+    df = _t(spark, sf_dir, "part")
+    return SQLTransform("SELECT p_partkey, unnest(tess_digits(p_size)) FROM __THIS__", udfs=[split]).fit(df).transform(df)
+
+
+@built("udf_null_and_nan", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'null' WHEN p_size % 3 = 1 THEN 'nan' ELSE 'number' END AS kind, CASE WHEN p_size % 3 <> 1 THEN 2 ELSE 1 END AS n FROM part")
+def udf_null_and_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL arrives as None and NaN as NaN; both come out of a list as they went in."""
+    kind = PythonUDF("tess_kind", lambda x: "null" if x is None else "nan" if x != x else "number", ("double",), "string")
+    pair = PythonUDF("tess_pair", lambda x: [x, float("nan")], ("double",), ["double"])
+    df = _t(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN double('NaN') ELSE 1.5D END AS x")
+    out = SQLTransform("SELECT p_partkey, tess_kind(x) AS kind, tess_pair(x) AS l FROM __THIS__", udfs=[kind, pair]).fit(df).transform(df)
+    return out.selectExpr("p_partkey", "kind", "CAST(aggregate(l, 0, (s, v) -> s + IF(v IS NULL OR NOT isnan(v), 1, 0)) + 1 AS INT) AS n")
+
+
 @built("group_models", f"SELECT p_partkey, {r('(p_retailprice - avg(p_retailprice) OVER w) / CASE WHEN stddev_pop(p_retailprice) OVER w = 0 THEN 1 ELSE stddev_pop(p_retailprice) OVER w END')} AS z FROM part WINDOW w AS (PARTITION BY p_brand)")
 def group_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "part")
@@ -161,12 +178,16 @@ def source_arrow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.unionByName(static(from_rows(spark, [{"k": x["r_regionkey"], "v": x["r_name"]} for x in table.slice(2).to_pylist()], "k int, v string"), ["k"]))
 
 
-@built("table_sample")
+@built("table_sample", "SELECT TRUE AS inside, TRUE AS subset")
 def table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the rows, within six standard deviations, and none that the table doesn't have twice."""
     from tesserel.plans import dialect
 
     _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return dialect.run(spark, "SELECT o_orderkey FROM orders TABLESAMPLE 10%")
+    got = dialect.run(spark, "SELECT o_orderkey FROM orders TABLESAMPLE 10%")
+    every = _t(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+    size = got.agg(F.count("*").alias("k"), F.count_distinct("o_orderkey").alias("u"))
+    return size.crossJoin(every).select((F.abs(F.col("k") - F.col("n") / 10) <= 6 * F.sqrt(F.col("n") * 0.09)).alias("inside"), (F.col("k") == F.col("u")).alias("subset"))
 
 
 @built("stream_transform", f"SELECT o_orderkey, {r('o_totalprice - (SELECT avg(o_totalprice) FROM orders)', 2)} AS d FROM orders")

@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
     "struct_access": "SELECT s.a.b AS x, s.c AS y FROM (SELECT {'a': {'b': n_nationkey}, 'c': n_name} AS s FROM nation) t",
     "struct_pack": "SELECT q.k AS k, q.v AS v FROM (SELECT struct_pack(k := n_nationkey, v := n_name) AS q FROM nation) t",
     "constant_query": "SELECT x, y FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(x, y)",
-    "duplicate_names": "SELECT o_orderkey AS id, o_custkey AS id_1, o_orderstatus AS s FROM orders",
+    "duplicate_names": "SELECT * FROM (SELECT o_orderkey AS id, o_custkey AS id, o_orderstatus AS s FROM orders) t",
     # joins
     "inner_join": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
     "left_join": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000",
@@ -79,8 +79,10 @@ SQL: dict[str, str] = {
     "first_last_ordered": "SELECT o_custkey, first(o_orderkey ORDER BY o_orderkey) AS f, last(o_orderkey ORDER BY o_orderkey) AS l, arg_max(o_orderstatus, o_orderkey) AS m FROM orders GROUP BY o_custkey",
     "product_geomean": f"SELECT n_regionkey, {r('product(1 + n_nationkey / 100)')} AS p, {r('geomean(n_nationkey + 1)')} AS g FROM nation GROUP BY n_regionkey",
     "entropy": f"SELECT l_returnflag, {r('entropy(l_linenumber)')} AS e FROM lineitem WHERE l_orderkey < 200 GROUP BY l_returnflag",
-    "regr": "SELECT l_returnflag, CAST(regr_count(l_quantity, l_discount) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag",
-    "approx_distinct_small": "SELECT approx_count_distinct(r_regionkey) > 3 AS ok FROM region",
+    "regr": f"SELECT l_returnflag, CAST(regr_count(l_quantity, l_discount) AS BIGINT) AS n, {r('regr_slope(l_extendedprice, l_quantity)', 2)} AS b, {r('regr_intercept(l_extendedprice, l_quantity)', 1)} AS a, {r('regr_r2(l_extendedprice, l_quantity)')} AS r2 FROM lineitem GROUP BY l_returnflag",
+    "approx_distinct_small": "SELECT l_returnflag, approx_count_distinct(l_linenumber) AS few, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag",
+    "arg_max_nulls": "SELECT o_custkey, arg_max(nullif(o_orderstatus, 'F'), o_orderkey) AS a, arg_min(nullif(o_orderstatus, 'O'), o_orderkey) AS b FROM orders GROUP BY o_custkey",
+    "grouping_function": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": f"SELECT l_returnflag, l_linestatus, {r('sum(l_quantity)')} AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
@@ -98,6 +100,10 @@ SQL: dict[str, str] = {
     "window_ignore_nulls": "SELECT o_orderkey, last_value(nullif(o_orderstatus, 'F') IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders",
     "window_filter": "SELECT o_orderkey, count(*) FILTER (WHERE o_totalprice > 150000) OVER (PARTITION BY o_custkey) AS n FROM orders",
     "window_distinct": "SELECT l_orderkey, l_linenumber, count(DISTINCT l_suppkey) OVER (PARTITION BY l_partkey) AS n FROM lineitem",
+    "window_collate_keys": "SELECT o_orderkey, count(*) OVER (PARTITION BY (CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END) COLLATE NOCASE) AS n, rank() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END) COLLATE NOCASE) AS k FROM orders",
+    "window_groups_join": "SELECT p.p_partkey, l.l_orderkey, l.l_linenumber, count(*) OVER (PARTITION BY p.p_brand ORDER BY l.l_linenumber GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, p.p_size + 1 AS s FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey WHERE p.p_size < 9",
+    "window_groups_aggregate": "SELECT o_custkey, count(*) AS n, sum(count(*)) OVER (ORDER BY count(*) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS near FROM orders GROUP BY o_custkey",
+    "window_groups_aliases": "SELECT a, b, count(*) OVER (ORDER BY b GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS n FROM (SELECT n_nationkey, n_regionkey FROM nation) AS t(a, b)",
     "window_expression_keys": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderkey % 7, lower(o_orderstatus) ORDER BY o_orderkey // 100) AS n FROM orders",
     "row_number_ntile_lag_lead": "SELECT event_id, row_number() OVER w AS rn, ntile(4) OVER w AS q, lag(value, 1) OVER w AS p, lead(event_id, 2, -1) OVER w AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "window_rows_bounded": f"SELECT event_id, {r('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS a FROM events",
@@ -114,9 +120,16 @@ SQL: dict[str, str] = {
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "cte_chain": f"WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), b AS (SELECT *, t / 2 AS h FROM a) SELECT o_custkey, {r('h', 2)} AS h FROM b",
     "recursive_cte": "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 10) SELECT n, f FROM r",
+    "recursive_union": "WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT (n * 7 + 3) % 20 FROM r) SELECT n FROM r",
+    "recursive_reach": "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), r AS (SELECT a, b FROM e WHERE a < 4 UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, count(*) AS n FROM r GROUP BY a",
+    "cte_materialized": f"WITH a AS MATERIALIZED (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS NOT MATERIALIZED (SELECT max(n) AS m FROM a) SELECT a.o_custkey, a.n = b.m AS top FROM a, b",
+    "union_by_name": "SELECT n_nationkey AS k, n_name AS n FROM nation UNION BY NAME SELECT r_name AS n, r_regionkey AS q FROM region",
     "scalar_subquery": f"SELECT o_orderkey, {r('o_totalprice - (SELECT avg(o_totalprice) FROM orders)', 2)} AS d FROM orders",
     "exists_subquery": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
     "in_subquery": "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)",
+    "in_subquery_value": "SELECT n_nationkey, nullif(n_nationkey % 3, 0) IN (SELECT nullif(s_nationkey % 2, 0) FROM supplier) AS a, nullif(n_nationkey % 3, 0) NOT IN (SELECT s_nationkey % 2 FROM supplier) AS b, nullif(n_nationkey, 3) IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 0) AS c, nullif(n_nationkey, 3) = ANY (SELECT s_nationkey FROM supplier) AS d, n_nationkey <> ALL (SELECT nullif(s_nationkey, 3) FROM supplier) AS e, NULL IN (SELECT 1) AS f, NULL NOT IN (SELECT 1) AS g, n_nationkey <> ANY (SELECT 3) AS h, n_nationkey = ALL (SELECT 3) AS i FROM nation",
+    "not_in_filter": "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 9) AND (n_nationkey IN (SELECT 3) OR n_regionkey NOT IN (SELECT 2))",
+    "not_in_null_filter": "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier) OR n_nationkey = 5",
     "all_subquery": "SELECT p_partkey FROM part WHERE p_retailprice > ALL (SELECT p_retailprice FROM part WHERE p_size = 1)",
     "correlated_subquery": f"SELECT n_name, {r('(SELECT avg(c_acctbal) FROM customer c WHERE c.c_nationkey = n.n_nationkey)', 2)} AS a, (SELECT count(*) FROM supplier s WHERE s.s_nationkey = n.n_nationkey) AS m FROM nation n",
     "derived_table": "SELECT k, n + 1 AS m FROM (SELECT o_custkey, count(*) FROM orders GROUP BY 1) s(k, n)",
@@ -124,6 +137,9 @@ SQL: dict[str, str] = {
     "range_ordinality": "SELECT x, o FROM unnest([10, 20, 30]) WITH ORDINALITY t(x, o)",
     # scalar functions
     "strings_case_length": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, strlen(p_name) AS b, bit_length(p_brand) AS bb FROM part",
+    "strings_case_special": "SELECT n_nationkey, upper('ß' || n_name) AS u, lower('İ' || n_name) AS l, upper('é') AS e FROM nation",
+    "strings_slices": "SELECT p_partkey, p_name[-3:] AS a, p_name[:2] AS b, p_name[2:] AS c, p_name[-4:-2] AS d, [1, 2, 3][2:] AS e, [1, 2, 3][-1:] AS f, len([1, 2]) AS n, list_sort([3, NULL, 1]) AS s FROM part",
+    "strings_parts": "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, split_part(o_orderpriority, '-', 9) AS b, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS c, printf('%d:%s', o_custkey, o_orderstatus) AS d FROM orders",
     "strings_trim_sub": "SELECT p_partkey, trim('  ' || p_brand || ' ') AS t, ltrim(p_brand, 'B') AS l, rtrim(p_brand, '0123456789') AS q, substring(p_name, 2, 3) AS s, substr(p_name, -3) AS e, substr(p_name, 0, 2) AS z, substr(p_name, -10, 8) AS w, substr(p_name, 3, -2) AS g FROM part",
     "strings_search": "SELECT p_partkey, instr(p_type, 'E') AS i, strpos(p_name, 'a') AS s, position('r' IN p_brand) AS p, contains(p_name, 'e') AS c, starts_with(p_type, 'S') AS f, ends_with(p_type, 'L') AS e, prefix(p_name, 'p') AS x FROM part",
     "strings_edit": "SELECT p_partkey, replace(p_brand, 'Brand', 'B') AS r, translate(p_brand, 'Bn', 'b') AS t, repeat(p_brand, 2) AS p, lpad(p_brand, 12, '*') AS l, rpad(p_brand, 5, '*') AS q, reverse(p_brand) AS v FROM part",
@@ -138,6 +154,9 @@ SQL: dict[str, str] = {
     "math_arithmetic": "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber - 5 AS s, l_linenumber * 3 AS m, l_orderkey // 7 AS q, l_orderkey % 7 AS r, -l_linenumber AS n, abs(l_linenumber - 4) AS b FROM lineitem",
     "math_divide": "SELECT l_orderkey, l_linenumber, l_linenumber / 4 AS d, l_quantity / (l_linenumber - 1) AS z, (l_linenumber - 1) / (l_linenumber - 1) AS y, 0.0e0 / (l_linenumber - 1) AS n FROM lineitem",
     "math_round": "SELECT l_orderkey, l_linenumber, round(l_extendedprice) AS r0, round(l_discount, 1) AS r1, floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, trunc(l_extendedprice) AS t, round(l_linenumber) AS i FROM lineitem",
+    "math_extremes": "SELECT x, floor(x) AS f, ceil(x) AS c, trunc(x) AS t, round(x, 1) AS r, fdiv(x, 3) AS d, fmod(x, 4) AS m, CAST(x AS VARCHAR) AS s FROM (VALUES (1e300::DOUBLE), (-1e300::DOUBLE), (-0.0::DOUBLE), (-0.5::DOUBLE), (2.5::DOUBLE), (9007199254740994::DOUBLE), (12345678.5::DOUBLE), (0.00001::DOUBLE), (0.0005::DOUBLE), (1e16::DOUBLE), ('inf'::DOUBLE), (NULL)) v(x)",
+    "casts_decimal": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) AS a, CAST(o_orderkey AS DECIMAL(10, 2)) = o_orderkey AS b, CAST(CAST(o_custkey AS DECIMAL(18, 3)) AS VARCHAR) AS c, o_totalprice::VARCHAR AS d FROM orders",
+    "interval_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS a, CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS b, CAST(o_orderdate AS DATE) + 5 AS c FROM orders",
     "math_logs": "SELECT p_partkey, " + ", ".join(f"{r(f)} AS {a}" for f, a in (("ln(p_retailprice)", "l"), ("log2(p_retailprice)", "l2"), ("log10(p_retailprice)", "l10"), ("log(p_retailprice)", "lg"), ("log(2, p_retailprice)", "lb"), ("exp(p_size / 100)", "e"), ("sqrt(p_retailprice)", "s"), ("cbrt(p_retailprice)", "cb"), ("pow(p_size, 2)", "p"))) + " FROM part",
     "math_trig": f"SELECT p_partkey, {r('sin(p_size)')} AS s, {r('cos(p_size)')} AS c, {r('tan(p_size)')} AS t, {r('pi()')} AS pi FROM part",
     "math_fdiv_fmod": "SELECT p_partkey, fdiv(p_size - 25, 7) AS d, fmod(p_size - 25, 7) AS m, nextafter(p_retailprice, 0) < p_retailprice AS n FROM part",
