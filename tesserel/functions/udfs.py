@@ -17,6 +17,8 @@ from tesserel.errors import Unsupported, UnknownModel
 
 KINDS = {"bool": "boolean", "int64": "bigint", "double": "double", "string": "string"}
 _KNOWN: set[str] = set()
+#: Models of this size in all are sent to the tasks; beyond it they are joined to the rows.
+SENT_BYTES = 64 << 20
 
 
 def _type(t: Any) -> str:
@@ -123,8 +125,17 @@ class GroupModels:
 
     def transform(self, df: DataFrame, strict: bool = False) -> DataFrame:
         """``df`` with ``fields`` as double columns; ``strict`` raises on a group without a model."""
-        fields, features = self.fields, self.features
-        models = self.table.withColumnsRenamed({k: f"__m_{k}" for k in self.keys}).drop("theta")
+        fields, features, spark = self.fields, self.features, df.sparkSession
+        size = self.table.agg(F.count("*").alias("n"), F.sum(F.length("model")).alias("bytes")).first()
+        # rows carry their model's number, and tasks get the models once; only models too large for that are joined to the rows
+        apart = (size["bytes"] or 0) <= SENT_BYTES
+        models = self.table.withColumnsRenamed({k: f"__m_{k}" for k in self.keys})
+        sent = None
+        if apart:
+            kept_ = {r["id"]: r["model"] for r in models.select("theta.id", "model").collect()}
+            sent = spark.sparkContext.broadcast(kept_)
+            models = models.withColumn("model", F.col("theta.id"))
+        models = models.drop("theta")
         on = [df[k].eqNullSafe(models[f"__m_{k}"]) for k in self.keys]
         both = (df.join(models, on, "left") if on else df.crossJoin(models)).drop(*[f"__m_{k}" for k in self.keys])
         if strict and both.where("model IS NULL").limit(1).count():
@@ -135,14 +146,14 @@ class GroupModels:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
-            kept: dict[bytes, Any] = {}
+            kept: dict[Any, Any] = {}
             for b in batches:
                 x = np.column_stack([b.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features])
                 coded = b.column("model").dictionary_encode()
                 code = coded.indices.fill_null(-1).to_numpy()
                 out = np.full((b.num_rows, len(fields)), np.nan)
-                for i, data in enumerate(coded.dictionary.to_pylist()):
-                    m = kept.get(data) or kept.setdefault(data, pickle.loads(data))
+                for i, key in enumerate(coded.dictionary.to_pylist()):
+                    m = kept.get(key) or kept.setdefault(key, pickle.loads(sent.value[key] if sent else key))
                     rows = np.flatnonzero(code == i)
                     out[rows] = np.asarray(m.transform(x[rows]), float).reshape(len(rows), -1)
                 mask = code < 0

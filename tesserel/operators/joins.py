@@ -25,12 +25,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], right_o
     l = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col(on).alias(at), F.lit(0 if strict else 1).alias(side), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias(held))
     r = right.where(F.col(right_on).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col(right_on).alias(at), F.lit(1 if strict else 0).alias(side), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__l"), F.struct(*take).alias(held))
     keys = [f"__k{i}" for i in range(len(by))]
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col(at).isNotNull())
+    # rows that can't match pass by the shuffle, else all NULL keys would go to one task
+    l, r, lost = l.where(known), r.where(known), l.where(~known)
     w = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_first(), side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = l.unionByName(r).withColumn("__m", F.last(held, ignorenulls=True).over(w)).where(F.col("__l").isNotNull())
-    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col(at).isNotNull())
-    both = both.withColumn("__m", F.when(known, F.col("__m")))
     if how == "inner":
         both = both.where(F.col("__m").isNotNull())
+    else:
+        both = both.select("__l", "__m").union(lost.select("__l", F.col(held).alias("__m")))
     return both.select("__l.*", *[F.col(f"__m.{c}").alias(prefix + c) for c in take])
 
 

@@ -222,3 +222,71 @@ def test_fitted_objects_inside_a_text(spark, train):
     assert q.get_feature_names_out() == ["name", "z"]
     with pytest.raises(errors.Unsupported):
         SQLProjection("SELECT std(fare) AS x FROM __THIS__", models={"std": std})
+
+
+class _Tree:
+    """A fitted tree as its arrays: x0 <= t ? 1 : (x1 <= 5 ? 2 : 4)."""
+
+    def __init__(self, t, missing=False):
+        import numpy as np
+
+        self.tree_ = type("T", (), {"children_left": np.array([1, -1, 3, -1, -1]), "children_right": np.array([2, -1, 4, -1, -1]), "feature": np.array([0, -2, 1, -2, -2]), "threshold": np.array([t, -2, 5.0, -2, -2]), "value": np.array([[0.0], [1.0], [0.0], [2.0], [4.0]]), "missing_go_to_left": np.array([missing] * 5)})()
+
+
+def test_fitted_trees_are_packed(spark):
+    import numpy as np
+
+    from tesserel.operators import trees
+
+    forest = type("F", (), {"estimators_": [_Tree(0.5), _Tree(1.5, True)]})()
+    boosted = type("B", (), {"estimators_": np.array([[_Tree(0.5)], [_Tree(1.5)]], object), "learning_rate": 0.1, "init_value": 3.0})()
+    packed = trees.Packed.of(*trees.frames(spark, *trees.pack({0: forest, 1: boosted, 7: _Tree(0.5)})))
+    df = spark.createDataFrame([(0.0, 9.0), (1.0, 1.0), (2.0, 9.0), (None, 9.0)], "a double, b double").coalesce(1)
+    got = {m: [r.prediction for r in trees.predict(df, packed, ["a", "b"], m).collect()] for m in (0, 1, 7)}
+    assert got[0] == [1.0, 1.5, 4.0, 2.5] and got[7] == [1.0, 2.0, 4.0, 4.0]
+    assert np.allclose(got[1], [3.2, 3.3, 3.8, 3.8])
+    with pytest.raises(errors.Unsupported, match="has no trees"):
+        trees.pack({0: object()})
+
+
+def test_thresholds_on_the_single_precision_grid():
+    import numpy as np
+
+    from tesserel.operators import trees
+
+    rng = np.random.default_rng(0)
+    t = np.r_[rng.normal(size=200), 0.1, 1.0, -1.0, 16777217.0, 0.0]
+    g = trees.on_grid(t)
+    low = np.where(t.astype(np.float32) > t, np.nextafter(t.astype(np.float32), np.float32(-np.inf)), t.astype(np.float32))
+    for x in (g, np.nextafter(g, np.inf), np.nextafter(g, -np.inf), t, np.nextafter(t, np.inf), t + 1e-9, t - 1e-9):
+        assert ((x <= g) == (x.astype(np.float32) <= low)).all()
+
+
+def test_models_too_large_to_send_are_joined(spark, monkeypatch):
+    from tesserel.functions import udfs
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "k string, x double")
+    model = GroupModels("standardise", Standardise, ["x"], ["z"], ["k"]).fit(df)
+    want = sorted(map(tuple, model.transform(df).collect()), key=str)
+    monkeypatch.setattr(udfs, "SENT_BYTES", 0)
+    assert sorted(map(tuple, model.transform(df).collect()), key=str) == want and ("a", 1.0, -1.0) in want
+
+
+def test_asof_rows_without_keys_match_nothing(spark):
+    from tesserel.operators import asof_join
+
+    left = spark.createDataFrame([("a", 5, 1), (None, 5, 2), ("a", None, 3)], "k string, t int, i int")
+    right = spark.createDataFrame([("a", 4, "x"), (None, 1, "y")], "k string, t int, v string")
+    assert sorted(map(tuple, asof_join(left, right, "t", ["k"]).select("i", "v").collect())) == [(1, "x"), (2, None), (3, None)]
+    assert [tuple(r) for r in asof_join(left, right, "t", ["k"], how="inner").select("i", "v").collect()] == [(1, "x")]
+
+
+def test_global_windows_are_scalar_aggregates(spark, train):
+    from tesserel.plans import dialect
+
+    train.createOrReplaceTempView("train_rows")
+    sql = "SELECT name, age / max(age) OVER () AS s, fare // count(*) OVER () AS q FROM train_rows WHERE fare > 5 QUALIFY age <= avg(age) OVER () ORDER BY name"
+    assert " OVER ()" not in dialect.translate(spark, sql)
+    assert [tuple(r) for r in dialect.run(spark, sql).collect()] == [tuple(r) for r in spark.sql("SELECT name, s, q FROM (SELECT name, age / max(age) OVER () AS s, fare div count(*) OVER () AS q, age <= avg(age) OVER () AS ok FROM train_rows WHERE fare > 5) WHERE ok ORDER BY name").collect()]
+    grouped = "SELECT city, count(*) AS n, max(count(*)) OVER () AS m FROM train_rows GROUP BY city"
+    assert " OVER ()" in dialect.translate(spark, grouped) and {r.m for r in dialect.run(spark, grouped).collect()} == {2}
