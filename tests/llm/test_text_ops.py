@@ -7,6 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -544,16 +545,54 @@ def test_toxic_spans_and_messy_rows(spark):
 # ---- 8: URLs
 
 
+def _spelled(url):
+    text, ends, keys = urls.candidates(url)
+    assert keys == [xxhash.xxh64_intdigest(text[:e].encode()) for e in ends]
+    return [urls.shown(text[:e]) for e in reversed(ends)]
+
+
 def test_url_candidates_and_entries():
-    assert urls.candidates("https://u:p@A.b.Example.com:80/x/y.html?q=1#f") == ["a.b.example.com/x/y.html", "a.b.example.com/x", "a.b.example.com", "b.example.com", "example.com"]
-    assert urls.candidates("no scheme") == [] and urls.candidates(None) == [] and urls.candidates("http://[bad") == []
-    assert urls.entry("HTTPS://Spam.example.com/a/") == "spam.example.com/a"
+    assert _spelled("https://u:p@A.b.Example.com:80/x//y.html?q=1#f") == ["a.b.example.com/x/y.html", "a.b.example.com/x", "a.b.example.com", "b.example.com", "example.com"]
+    assert _spelled("http://localhost/a") == ["localhost/a", "localhost"] and _spelled(" http://b.example.com. ") == ["b.example.com", "example.com"]
+    assert not any(urls.candidates(u)[1] for u in ("no scheme", None, "http://[bad", "http://[::1]/", "http:///x", "http://a..b/"))
+    assert urls.shown(urls.entry("HTTPS://Spam.example.com/a/")) == "spam.example.com/a" and urls.entry(" ") == urls.entry(None) == ""
+
+
+def test_long_urls_take_linear_time():
+    import time
+
+    at = time.time()
+    for u in ("http://x.com/" + "a/" * 500_000, "http://" + "a." * 500_000 + "com/"):
+        assert len(urls.candidates(u)[1]) == 500_000 + (u[7] == "x")
+    assert time.time() - at < 20
+
+
+class _Worse:
+    """A digest with many collisions."""
+
+    def __init__(self, data=b""):
+        self.n = len(data)
+
+    def update(self, data):
+        self.n += len(data)
+
+    def intdigest(self):
+        return self.n % 3
 
 
 def test_collisions_are_confirmed_by_strings():
-    bad = lambda data: len(data) % 3
-    d = urls.Digests.of(["aa.com", "bbb.com", "ccc.com/x", None, " "], digest=bad)
-    assert d.match([["zz.com"], ["bbb.com"], ["ccc.com/x", "ccc.com"], ["ccc.com"], []], digest=bad) == [None, "bbb.com", "ccc.com/x", None, None]
+    d = urls.Digests.of(["aa.com", "bbb.com", "ccc.com/x", None, " "], digest=_Worse)
+    got = d.match([urls.candidates(u, _Worse) for u in ("http://zz.com", "http://bbb.com/q", "http://ccc.com/x/y", "http://ccc.com", "", "http://www.aa.com")])
+    assert got == [None, "bbb.com", "ccc.com/x", None, None, "aa.com"]
+
+
+def test_list_in_ranges_of_keys(spark, monkeypatch):
+    hosts = [f"h{i}.example.org" for i in range(300)] + [f"h{i}.example.org/a/b" for i in range(0, 300, 7)] + ["h1.example.org", None]
+    cuts, paths = urls.build(spark, spark.createDataFrame([(h,) for h in hosts], "e string"), range_rows=50)
+    assert len(paths) > 4 and len(cuts) == len(paths) - 1
+    d = urls.Digests.map(cuts, paths)
+    assert d.match([urls.candidates(f"http://www.h{i}.example.org/") for i in range(320)]) == [f"h{i}.example.org" if i < 300 else None for i in range(320)]
+    assert d.match([urls.candidates(f"http://h{i}.example.org/a/b/c") for i in range(300)]) == [f"h{i}.example.org" + ("" if i % 7 else "/a/b") for i in range(300)]
 
 
 def test_url_query_equals_its_sql_and_messy_rows(spark):
@@ -569,6 +608,16 @@ def test_url_query_equals_its_sql_and_messy_rows(spark):
     assert not any(r.blocked for r in urls.op8_urls(pages, block).collect())
 
 
+def test_paths_of_the_list_are_blocked_as_in_sql(spark):
+    import duckdb
+
+    rows = [(i, u) for i, u in enumerate(["http://example.com/casino", "http://example.com/casino/x?q", "http://example.com/casinos", "http://www.example.com/casino", "https://a@b@example.net:8/en//casino/", "http://EXAMPLE.org/redirect/ad#f", "http://example.org./redirect/ad", "http://example.org/redirect", "http://m.spam-farm.example.com/casino"])]
+    got = sorted(map(tuple, urls.op8_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()))
+    assert [r[2] for r in got] == [True, True, False, False, True, True, True, False, True] and got[4][3] == "example.net/en/casino"
+    pages = pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows]})  # noqa: F841
+    assert got == sorted(duckdb.sql(urls.ORACLE_SQL).fetchall())
+
+
 def test_listed_names_are_blocked_under_other_domains(spark):
     name = re.compile(r"://(?:[^/@]*[.@])?(?:casino-win|free-bets|cheap-pills|spam-farm|adult-x|ads-track)\.example\.[a-z]+(?:[:/?#]|$)")
     got = [r for sf in ("0.001", "0.1") for r in urls.op8_urls(table(spark, "pages", f"/root/testdata/sf{sf}")).collect()]
