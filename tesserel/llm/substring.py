@@ -9,7 +9,9 @@ one hash. An occurrence that agrees with no other that far lies near the end of
 match; it is extended window by window, against the other such occurrences and one
 of each set that agrees. What is kept is the union of the repeated windows: the
 maximal repeats of at least 50 words. There is no cap on occurrences and no
-comparison of pairs, so a passage in m documents costs m rows, not m squared.
+comparison of pairs, so a passage in m documents costs m rows, not m squared. Anchors in
+more than one of ``COMMON`` documents are known to all tasks, and no task gathers their
+documents: their extremes are combined before they meet.
 
 A repeat counts if its documents differ (in id or text); repeats inside one
 document, and rows repeated exactly, don't. Of each repeated window the document
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
-from tesserel.llm.keys import bounded, id_key, text_key
+from tesserel.llm.keys import both, bounded, heavy
 from tesserel.plans import shared
 
 MIN_WORDS, GRAM = 50, 12
+#: Anchors in more than one of so many documents are common.
+COMMON = 1000
 #: Per-document lists up to this size in all are broadcast, beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 U64 = np.uint64
@@ -69,7 +73,7 @@ def _anchors(least: int, gram: int):
                 sums = np.zeros(n + 1, U64)
                 np.cumsum(w.hash * tv.powers(tv.STEP2, n), out=sums[1:])
                 un = tv.powers(U64(pow(int(tv.STEP2), -1, 2**64)), n + 1)
-                ctx = tv.mix(tv.mix((sums[hi] - sums[lo]) * un[lo]) + ((p - lo) * 1000 + (hi - p)).astype(U64))
+                ctx = tv.mix(tv.mix((sums[hi] - sums[lo]) * un[lo]) + ((p - lo) * (1 << 31) + (hi - p)).astype(U64))
                 cs, ce = tv.char_offsets(w.buf, w.offs, doc, w.start[lo]), tv.char_offsets(w.buf, w.offs, doc, w.end[hi - 1])
                 struct = pa.StructArray.from_arrays([pa.array(g[pick].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(cs.astype(np.int32)), pa.array(ce.astype(np.int32))], ["h", "ctx", "pos", "cs", "ce"])
                 out = pa.RecordBatch.from_arrays([b.column("dk"), b.column("id"), tv.lists(struct, np.bincount(doc, minlength=b.num_rows))], ["dk", "id", "anchors"])
@@ -116,15 +120,15 @@ def _windows(least: int, gram: int):
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unions of the intervals of each document: all of them, and those it may drop."""
-    for b in tv.whole_groups(batches, "dk"):
-        dk = b.column("dk").to_numpy()
-        heads = np.r_[True, dk[1:] != dk[:-1]]
+    for b in tv.whole_groups(batches, "a"):
+        k1, k2 = b.column("a").to_numpy(), b.column("b").to_numpy()
+        heads = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
         group = np.cumsum(heads) - 1
         n = int(group[-1]) + 1
         cs, ce = b.column("cs").to_numpy().astype(np.int64), b.column("ce").to_numpy().astype(np.int64)
         drop = ~b.column("first").to_numpy(zero_copy_only=False)
-        cols = [pa.array(dk[heads])]
-        for which in (np.arange(len(dk)), np.flatnonzero(drop)):
+        cols = [pa.StructArray.from_arrays([pa.array(k1[heads]), pa.array(k2[heads])], ["a", "b"])]
+        for which in (np.arange(len(k1)), np.flatnonzero(drop)):
             g, s, e = group[which], cs[which] + (group[which] << 33), ce[which] + (group[which] << 33)
             top = np.maximum.accumulate(e) if len(e) else e
             new = np.r_[True, s[1:] > top[:-1]] if len(e) else np.zeros(0, bool)
@@ -136,36 +140,40 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["dk", "repeats", "drops"])
 
 
-def _doc_key(id_col: str, text_col: str):
-    return F.xxhash64(id_key(id_col), text_key(text_col))
-
-
 def _light(df: DataFrame, bytes_each: int, total: int) -> DataFrame:
     return F.broadcast(df) if bytes_each * total <= BROADCAST_BYTES else df
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """((dk, repeats, drops) of documents with repeats, (dk, id) of all with at least ``min_words``)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = bounded(docs).select(_doc_key(id_col, text_col).alias("dk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    seeds = shared.table(src.mapInArrow(_anchors(min_words, gram), f"dk bigint, id {kind}, anchors array<struct<h:bigint,ctx:bigint,pos:int,cs:int,ce:int>>"), "seeds")
-    flat = seeds.select("dk", F.explode("anchors").alias("a")).select("dk", "a.*")
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
+    gram = min(gram, (min_words + 1) // 2)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = bounded(docs).select(both(id_col, text_col).alias("dk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, key = docs.schema[id_col].dataType.simpleString(), "struct<a:bigint,b:bigint>"
+    seeds = shared.table(src.mapInArrow(_anchors(min_words, gram), f"dk {key}, id {kind}, anchors array<struct<h:bigint,ctx:bigint,pos:int,cs:int,ce:int>>"), "seeds")
+    hot = shared.table(heavy(seeds.select(F.col("anchors.h").alias("h")), seeds.count(), COMMON), "hot")
+    flat = seeds.select("dk", F.explode("anchors").alias("a")).select("dk", "a.*").join(F.broadcast(hot.select(F.col("x").alias("h"), F.lit(True).alias("hot"))), "h", "left")
     by_h, by_ctx = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
-    met = flat.withColumns({"d0": F.min("dk").over(by_h), "d1": F.max("dk").over(by_h), "c0": F.min("ctx").over(by_h), "c1": F.max("ctx").over(by_h)}).where("d0 <> d1")
-    met = met.withColumns({"e0": F.min("dk").over(by_ctx), "e1": F.max("dk").over(by_ctx)})
+    of_h = {"d0": F.min("dk"), "d1": F.max("dk"), "c0": F.min("ctx"), "c1": F.max("ctx")}
+    of_ctx = {"e0": F.min("dk"), "e1": F.max("dk")}
+    rare = flat.where("hot IS NULL").withColumns({k: v.over(by_h) for k, v in of_h.items()}).where("d0 <> d1").withColumns({k: v.over(by_ctx) for k, v in of_ctx.items()})
+    often = flat.where("hot")
+    every_h = often.groupBy("h").agg(*[v.alias(k) for k, v in of_h.items()]).where("d0 <> d1")
+    every_ctx = often.groupBy("h", "ctx").agg(*[v.alias(k) for k, v in of_ctx.items()])
+    met = rare.unionByName(often.join(F.broadcast(every_h), "h").join(every_ctx, ["h", "ctx"]))
     met = shared.table(
         met.select("dk", "pos", "cs", "ce", (F.col("e0") != F.col("e1")).alias("whole"), (F.col("dk") == F.col("e0")).alias("first"), ((F.col("e0") == F.col("e1")) | (F.col("dk") == F.col("e0")) & (F.col("c0") != F.col("c1"))).alias("fine")), "met"
     )
     # a negative position marks an anchor whose windows are known to be in other documents
     fine = met.where("fine").groupBy("dk").agg(F.collect_list(F.when(F.col("whole"), -F.col("pos") - 1).otherwise(F.col("pos"))).alias("fine"))
     sizes = met.where("fine").agg(F.count("*"), F.count_distinct("dk")).first()
-    near = src.join(_light(fine, 1, 8 * sizes[0] + 40 * sizes[1]), "dk").select("dk", "text", "fine")
-    rows = near.mapInArrow(_windows(min_words, gram), "h bigint, dk bigint, cs int, ce int, many boolean")
-    rows = rows.withColumns({"d0": F.min("dk").over(by_h), "d1": F.max("dk").over(by_h), "m": F.max("many").over(by_h)}).where("d0 <> d1 or m")
-    pieces = rows.select("dk", "cs", "ce", (F.col("dk") == F.col("d0")).alias("first")).union(met.where("whole").select("dk", "cs", "ce", "first"))
-    merged = pieces.repartition(parts, "dk").sortWithinPartitions("dk", "cs").mapInArrow(_merged, "dk bigint, repeats array<struct<start:int,end:int>>, drops array<struct<start:int,end:int>>")
+    near = src.join(_light(fine, 1, 8 * sizes[0] + 48 * sizes[1]), "dk").select("dk", "text", "fine")
+    rows = shared.table(near.mapInArrow(_windows(min_words, gram), f"h bigint, dk {key}, cs int, ce int, many boolean"), "windows")
+    extremes = rows.groupBy("h").agg(F.min("dk").alias("d0"), F.max("dk").alias("d1"), F.max("many").alias("m")).where("d0 <> d1 or m").select("h", "d0")
+    pieces = rows.join(extremes, "h").select("dk", "cs", "ce", (F.col("dk") == F.col("d0")).alias("first")).union(met.where("whole").select("dk", "cs", "ce", "first"))
+    merged = pieces.select("dk.a", "dk.b", "cs", "ce", "first").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "cs").mapInArrow(_merged, f"dk {key}, repeats array<struct<start:int,end:int>>, drops array<struct<start:int,end:int>>")
     return merged, seeds.select("dk", "id").distinct()
 
 
@@ -176,7 +184,8 @@ def op6_substring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     offsets [start, end); ``drops`` the parts of them of which a document with a lesser
     key has a copy. Words are compared without case and without the signs between them.
     Null, empty and shorter texts have none; repeated rows count once; null ids are
-    documents like others; other columns are ignored.
+    documents like others; other columns are ignored; an empty table gives no rows. Any
+    ``min_words`` from 1 on will do. Equal repeats go by the key, a hash of id and text.
     """
     found, named = repeats(docs, id_col, text_col, min_words)
     return found.join(named, "dk").select(F.col("id").alias(id_col), "repeats", "drops")
@@ -191,7 +200,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = shared.table(found.where(F.size("drops") > 0).select("dk", "drops"), "cuts")
     dk, drops = shared.fresh(docs, "_dk"), shared.fresh(docs, "_drops")
     n = cuts.agg(F.count("*"), F.sum(F.size("drops"))).first()
-    marked = docs.withColumn(dk, _doc_key(id_col, text_col)).join(_light(cuts.select(F.col("dk").alias(dk), F.col("drops").alias(drops)), 1, 48 * n[0] + 16 * (n[1] or 0)), dk, "left").drop(dk)
+    marked = docs.withColumn(dk, both(id_col, text_col)).join(_light(cuts.select(F.col("dk").alias(dk), F.col("drops").alias(drops)), 1, 56 * n[0] + 16 * (n[1] or 0)), dk, "left").drop(dk)
 
     columns = docs.columns
 

@@ -473,6 +473,31 @@ def test_repeats_by_shuffle_are_the_same(spark, monkeypatch):
     assert {r.doc_id: (r.repeats, r.drops) for r in substring.op6_substring(docs).collect()} == a
 
 
+@pytest.mark.parametrize("least", [1, 3, 10, 11, 12, 13])
+def test_short_repeats_by_brute_force(spark, least):
+    rng = random.Random(least)
+    base, other = [f"b{i}" for i in range(40)], lambda: [f"o{rng.randrange(10**5)}" for _ in range(rng.randrange(6))]
+    at = [rng.randrange(38) for _ in range(60)]
+    rows = [(i, " ".join(other() + base[k : k + rng.randrange(1, 18)] + other() + base[: rng.randrange(4)])) for i, k in enumerate(at)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.repeats] for r in substring.op6_substring(spark.createDataFrame(rows, "doc_id int, text string"), min_words=least).collect()}
+    assert got == _repeats(rows, least) and got
+
+
+def test_a_passage_in_all_documents(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(90))
+    rows = [(i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(20 + i % 5)) + " " + passage + (" same tail" if i % 3 else "") + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(20))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = _repeats(rows)
+    for common in (substring.COMMON, 10**9):
+        monkeypatch.setattr(substring, "COMMON", common)
+        got = substring.op6_substring(docs).collect()
+        assert {r.doc_id: [(s.start, s.end) for s in r.repeats] for r in got} == want and len(want) == 120
+        assert sum(not r.drops for r in got) >= 1
+    with pytest.raises(ValueError):
+        substring.op6_substring(docs, min_words=0)
+
+
 def test_repeats_in_messy_rows(spark):
     rows = messy.ROWS + [(20, messy.LONG), (21, "x " * 60), (22, "x " * 60)]
     got = {r.doc_id: [(s.start, s.end) for s in r.repeats] for r in substring.op6_substring(messy.documents(spark, rows)).collect()}
