@@ -13,7 +13,8 @@ No bucket is capped. Documents with the same word sequence are first taken
 together. Within a bucket, pairs far above the threshold are verified unless others of
 them connect their documents already. If one of those fails all the same, its buckets
 are gone through again pair by pair, so the groups are the same as if all pairs of the
-bucket that the signatures allow had been verified.
+bucket that the signatures allow had been verified. A bucket of many documents is compared
+block by block, each pair of blocks in its own task.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from tesserel.llm import textvec as tv
 from tesserel.llm.components import components, find_roots
-from tesserel.llm.keys import id_key, keyed, sized, text_key
+from tesserel.llm.keys import heavy, id_key, keyed, sized, text_key
 from tesserel.plans import shared
 
 SLOTS, BAND_ROWS, GRAM, THRESHOLD = 128, 3, 3, 0.45
+#: Rows of a bucket that are compared in one go; buckets in more than one of so many documents' bands are counted beforehand.
+BLOCK, COMMON = 4096, 1000
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -147,13 +150,18 @@ def _likely(m: int, threshold: float, skip: bool = True):
     slack = 4 * np.sqrt(m * threshold * max(0.0, 1 - threshold))
     need, sure = max(1, int(np.ceil(threshold * m - slack))), int(np.ceil(threshold * m + slack)) if skip else m + 1
 
-    def bucket(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """(row, later rows, far) of the pairs: a spanning forest of the far ones, and all others across its trees."""
+    def bucket(sig: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(row, later rows, far) of the pairs: a spanning forest of the far ones, and all others across its trees.
+
+        Where there are two sides, only pairs across them are looked for.
+        """
         n = len(sig)
         root = np.arange(n)
+        two = side[0] != side[-1]
         same = lambda i, part: np.concatenate([(sig[p] == sig[i]).sum(1) for p in np.array_split(part, len(part) // 8192 + 1)])
+        later = lambda i: i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) if two else True))
         for i in range(n - 1):
-            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            rest = later(i)
             if not skip or not len(rest):
                 continue
             near = rest[same(i, rest) >= sure]
@@ -164,13 +172,13 @@ def _likely(m: int, threshold: float, skip: bool = True):
                 old = np.unique(root[np.append(near, i)])
                 root[np.isin(root, old)] = old[0]
         for i in range(n - 1):
-            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            rest = later(i)
             if len(rest):
                 yield i, rest[same(i, rest) >= need], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tv.whole_groups(batches, "bucket"):
-            key = b.column("bucket").to_numpy()
+        for b in tv.whole_groups(batches, "cell"):
+            key, side = b.column("cell").to_numpy(), b.column("side").to_numpy()
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[heads, len(key)])
             sig = tv.from_binary(b.column("sig"), np.uint16, m)
@@ -179,7 +187,7 @@ def _likely(m: int, threshold: float, skip: bool = True):
             ok = equal >= need
             x, y, z = [two[ok]], [two[ok] + 1], [equal[ok] >= sure]
             for h, s in zip(heads[sizes > 2], sizes[sizes > 2]):
-                for i, rows, far in bucket(sig[h : h + s]):
+                for i, rows, far in bucket(sig[h : h + s], side[h : h + s]):
                     x.append(np.full(len(rows), h + i))
                     y.append(h + rows)
                     z.append(np.full(len(rows), far))
@@ -189,6 +197,14 @@ def _likely(m: int, threshold: float, skip: bool = True):
     return run
 
 
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(cell, side, seq, sig): a bucket as one cell, or, of many documents, one for every pair of its blocks."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    small = pairs.where(F.col("size") <= BLOCK).select(F.col("bucket").alias("cell"), F.lit(0).alias("side"), "seq", "sig")
+    many = pairs.where(F.col("size") > BLOCK).withColumn("n", n).withColumn("side", F.pmod(F.xxhash64("seq"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return small.union(many.select(F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "side", "seq", "sig"))
+
+
 def _sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +257,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     signed = shared.table(signatures(docs, id_col, text_col, slots, band_rows, gram), "signatures")
     # the same word sequence has the same signature: one stands for all
     reps = shared.table(signed.where("words > 0").groupBy("seq").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row")), "representatives")
-    buckets = reps.select("seq", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.collect_list("seq").alias("seqs")).where(F.size("seqs") > 1)
-    pairs = buckets.select("bucket", F.explode("seqs").alias("seq")).join(reps.select("seq", "sig"), "seq")
+    hot = shared.table(heavy(reps.select("bands"), reps.count(), COMMON), "hot")
+    flat = reps.select("seq", F.explode("bands").alias("bucket")).join(F.broadcast(hot.withColumnRenamed("x", "bucket")), "bucket", "left")
+    rare = flat.where("often IS NULL").select("bucket", "seq", F.count("*").over(Window.partitionBy("bucket")).alias("size")).where("size > 1")
+    pairs = rare.union(flat.where("often IS NOT NULL").select("bucket", "seq", F.col("often").alias("size"))).join(reps.select("seq", "sig"), "seq")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compared(pairs: DataFrame, skip: bool) -> DataFrame:
-        likely = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_likely(slots, threshold, skip), "a binary, b binary, far boolean")
+        likely = _blocks(pairs).repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(_likely(slots, threshold, skip), "a binary, b binary, far boolean")
         likely = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far").groupBy("a", "b").agg(F.max("far").alias("far"))
         return shared.table(_compared(shared.table(likely, "likely"), reps, docs, id_col, text_col, gram), "verified")
 
@@ -257,7 +275,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     if failed.count():
         ends = failed.select(F.col("a").alias("seq")).union(failed.select(F.col("b").alias("seq"))).distinct()
         again = pairs.join(pairs.join(ends, "seq", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-        edges = edges.union(compared(again.select("bucket", "seq", "sig"), False).where(passed).select("a", "b")).distinct()
+        edges = edges.union(compared(again.select("bucket", "seq", "size", "sig"), False).where(passed).select("a", "b")).distinct()
     edges = shared.table(edges, "edges")
     roots = components(edges).withColumnRenamed("node", "seq")
     label = F.when(F.col("words") > 0, F.coalesce("root", "seq")).otherwise(F.encode(F.concat_ws("/", "k1", "k2"), "utf-8"))

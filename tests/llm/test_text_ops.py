@@ -823,13 +823,17 @@ def test_near_duplicates_by_brute_force(spark):
     for k in range(30):
         w = rows[k][1].split()
         rows.append((3000 + k, " ".join(x for x in w if rng.random() > 0.03)))
+    for k in range(120):  # pairs about the threshold and below it
+        w = [f"q{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(4000 + 2 * k, " ".join(w)), (4001 + 2 * k, " ".join(x if rng.random() > 0.04 + k / 800 else f"r{rng.randrange(10**6)}" for x in w))]
     got = {r.doc_id: r for r in minhash.op10_minhash(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    near = _near(rows)
-    sure = [(a, b) for (a, b), j in near.items() if j >= 0.6]
-    assert sum(got[rows[a][0]].group_id == got[rows[b][0]].group_id for a, b in sure) >= 0.98 * len(sure) and len(sure) > 20
-    # groups are held together by pairs that are near indeed
+    near = {p: j for p, j in _near(rows).items() if j >= minhash.THRESHOLD - 1e-9}
+    for low, high, least in ((0.45, 0.6, 0.9), (0.6, 1.1, 0.99)):
+        sure = [(a, b) for (a, b), j in near.items() if low <= j < high]
+        assert sum(got[rows[a][0]].group_id == got[rows[b][0]].group_id for a, b in sure) >= least * len(sure) and len(sure) > 20
+    # no link but by pairs at the threshold: every group lies in one component of theirs
     n = len(rows)
-    a, b = np.array([p for p, j in near.items() if j >= 0.3] or [(0, 0)]).T
+    a, b = np.array(list(near) or [(0, 0)]).T
     root = components.find_roots(a, b, n)
     best = {}
     for i in range(n):
@@ -853,12 +857,25 @@ def test_groups_go_by_exact_similarity(spark, own, one):
 def test_far_pairs_that_fail_have_their_buckets_gone_through(spark, monkeypatch):
     sigs = np.zeros((3, 128), np.uint16)
     sigs[2, :64] = 1
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 3), pa.array([b"a", b"b", b"c"], pa.binary()), tv.fixed_binary(sigs)], ["bucket", "seq", "sig"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 3), pa.array([0] * 3), pa.array([b"a", b"b", b"c"], pa.binary()), tv.fixed_binary(sigs)], ["cell", "side", "seq", "sig"])
     pairs = lambda skip: {(r["a"], r["b"], r["far"]) for b in minhash._likely(128, 0.45, skip)(iter([batch])) for r in b.to_pylist()}
     assert pairs(True) == {(b"a", b"b", True), (b"a", b"c", False), (b"b", b"c", False)}
     assert pairs(False) == {(b"a", b"b", False), (b"a", b"c", False), (b"b", b"c", False)}
 
 
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, common):
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    shared_ = " ".join(f"s{i}" for i in range(90))
+    rows += [(5000 + i, shared_ + "".join(f" d{i}x{j}" for j in range(20 if i % 2 else 70))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = {r.doc_id: r.group_id for r in minhash.op10_minhash(docs).collect()}
+    assert {want[5000 + i] for i in range(1, 60, 2)} == {5001}
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "COMMON", common)
+    assert {r.doc_id: r.group_id for r in minhash.op10_minhash(docs).collect()} == want
+
+
 def test_components_by_rounds_are_those_of_one_task(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
