@@ -867,7 +867,7 @@ def test_far_pairs_that_fail_have_their_buckets_gone_through(spark, monkeypatch)
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, common):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     shared_ = " ".join(f"s{i}" for i in range(90))
-    rows += [(5000 + i, shared_ + "".join(f" d{i}x{j}" for j in range(20 if i % 2 else 70))) for i in range(60)]
+    rows += [(5000 + i, shared_ + "".join(f" d{i}x{j}" for j in range(20 if i % 2 else 110))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     want = {r.doc_id: r.group_id for r in minhash.op10_minhash(docs).collect()}
     assert {want[5000 + i] for i in range(1, 60, 2)} == {5001}
