@@ -535,6 +535,77 @@ def test_marginals_in_blocks_are_those_of_single_documents():
         assert np.allclose(whole[a:b], toxicity.marginals(s[a:b], np.array([0, b - a]), t), atol=1e-9)
 
 
+def _paths(score, trans):
+    """(labels, weight) of all labellings of one document."""
+    for y in itertools.product((0, 1), repeat=len(score)):
+        e = sum(s for s, x in zip(score, y) if x) + (trans[0] if y[0] else 0)
+        e += sum({(0, 1): trans[0], (1, 0): trans[1], (1, 1): trans[2], (0, 0): 0}[p] for p in zip(y, y[1:]))
+        yield y, e
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    sizes, k = [4, 0, 1, 5], 3
+    first = np.r_[0, np.cumsum(sizes)]
+    y = rng.integers(0, 2, first[-1]).astype(bool)
+    rows = [np.sort(rng.choice(first[-1], 6, replace=False)).astype(np.int32) for _ in range(2)]
+    part = toxicity._Part(first, y, rows, [rng.integers(0, k, 6).astype(np.int32) for _ in range(2)])
+    theta = rng.normal(size=k + 4)
+
+    def likelihood(t):
+        score, total = part.score(t[:k], t[k]), 0.0
+        for a, b in zip(first, first[1:]):
+            if b > a:
+                every = dict(_paths(score[a:b], t[k + 1 :]))
+                total += every[tuple(int(v) for v in y[a:b])] - np.log(sum(np.exp(e) for e in every.values()))
+        return total
+
+    g, e, t = part.gradient(theta[:k], theta[k], theta[k + 1 :])
+    slow = [(likelihood(theta + d) - likelihood(theta - d)) / 2e-5 for d in np.eye(k + 4) * 1e-5]
+    assert np.allclose(np.r_[g, e, t], slow, atol=1e-5)
+
+
+def test_training_words_by_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["sun", "moon", "tree", "stone"]) for _ in range(12)) + (" idiotic scum" if i % 3 == 0 and i % 2 else " idiotism" if i % 3 == 0 else "") for i in range(90)]
+    toxic = np.array([i % 3 == 0 for i in range(90)])
+    w = tv.words(pa.array(texts))
+    got = toxicity._labelled_words(toxicity.features(w)[: 1 + len(toxicity.PREFIXES)], w.doc, toxic)
+    forms = [lambda x: x, *[lambda x, k=k: x[:k] + f"|{k}" for k in toxicity.PREFIXES]]
+    strong = [set() for _ in forms]
+    for kind, f in enumerate(forms):
+        seen = [{f(x) for x in t.split()} for t in texts]
+        for x in set().union(*seen):
+            pos, neg = sum(x in s for s, y in zip(seen, toxic) if y), sum(x in s for s, y in zip(seen, toxic) if not y)
+            odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((neg + 0.5) / ((~toxic).sum() + 1))
+            expect = (pos + neg) * toxic.mean()
+            ratio = 2 * ((pos * np.log(pos / expect) if pos else 0) + (neg * np.log(neg / (pos + neg - expect)) if neg else 0))
+            if pos >= toxicity.MIN_DOCS and odds >= toxicity.MIN_LOG_ODDS and ratio >= toxicity.MIN_LIKELIHOOD_RATIO:
+                strong[kind].add(x)
+    want = [bool(toxic[i]) and any(f(x) in s for f, s in zip(forms, strong)) for i, t in enumerate(texts) for x in t.split()]
+    assert got.tolist() == want and 20 < sum(want) < 90
+
+
+def test_document_scores_by_brute_force():
+    model = toxicity.Field(bias=-1.0, trans=np.array([-1.0, 0.5, 1.0]), doc=np.array([0.3, 2.0, -0.4]))
+    model.weights[:] = np.random.default_rng(1).normal(size=len(model.weights)).astype(np.float32)
+    texts = ["one two three", "", "four", "five six seven eight nine", None]
+    w = tv.words(pa.array(texts))
+    p, x = model.words(w), toxicity.features(w)
+    got = model.documents(p, w.first)
+    for i, t in enumerate(texts):
+        at = range(w.first[i], w.first[i + 1])
+        score = [model.bias + sum(float(model.weights[f[j]]) for f in x) for j in at]
+        if not score:
+            assert got[i] == 0
+            continue
+        weights = [(y, np.exp(e)) for y, e in _paths(score, model.trans)]
+        z = sum(v for _, v in weights)
+        q = [sum(v for y, v in weights if y[j]) / z for j in range(len(score))]
+        ev = 0.3 + 2.0 * np.log(sum(q) + 0.1) - 0.4 * np.log(sum(q) / len(q) + 1e-3)
+        assert np.allclose([p[j] for j in at], q, atol=1e-6) and abs(got[i] - 1 / (1 + np.exp(-ev))) < 1e-6
+
+
 def test_toxicity_held_out():
     import duckdb
 
