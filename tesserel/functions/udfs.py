@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tesserel.errors import Unsupported, UnknownModel
 
 KINDS = {"bool": "boolean", "int64": "bigint", "double": "double", "string": "string"}
-_KNOWN: set[str] = set()
+_KNOWN: dict[str, PythonUDF] = {}
 #: Models of this size in all are sent to the tasks; beyond it they are joined to the rows.
 SENT_BYTES = 64 << 20
 
@@ -51,7 +52,7 @@ class PythonUDF:
             raise Unsupported(f"unsupported: {self.name} is a built-in function")
         for t in self.takes:
             _type(t)
-        _KNOWN.add(self.name.lower())
+        _KNOWN[self.name.lower()] = self
         spark.udf.register(self.name, self.column_function())
         return self.name
 
@@ -84,6 +85,31 @@ def _arrow(t: Any) -> pa.DataType:
     return {"bool": pa.bool_(), "int64": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]
 
 
+def folded(name: str, values: list[Any]) -> tuple[Any] | None:
+    """The value of a declared function of constants, in a tuple; None where it has to be left to the rows."""
+    f = _KNOWN.get(name.lower())
+    if f is None or not isinstance(f.returns, str) or len(values) != len(f.takes):
+        return None
+    kinds = {"bool": bool, "int64": int, "double": float, "string": str}
+    out = f.fn(*[v if v is None else kinds[t](v) for v, t in zip(values, f.takes)])
+    return (out if out is None else kinds[f.returns](out),)
+
+
+@dataclass(frozen=True)
+class Named:
+    """An estimator and the names of what its transform returns."""
+
+    estimator: Any
+    fields: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class OrderSensitive:
+    """An estimator whose fit depends on the order of rows: it has to be fitted with one."""
+
+    estimator: Any
+
+
 class GroupModels:
     """Objects with ``fit(rows)`` and ``transform(rows)``, one per group; the group's id is data.
 
@@ -96,11 +122,30 @@ class GroupModels:
     def __init__(self, kind: str, make: Callable[[], Any], features: list[str], fields: list[str], keys: list[str] = ()) -> None:
         self.kind, self.make, self.features, self.fields, self.keys = kind, make, list(features), list(fields), list(keys)
         self.table: DataFrame | None = None
+        self.ordered = False
+
+    @classmethod
+    def from_estimator(cls, kind: str, estimator: Any, features: list[str], keys: list[str] = (), fields: list[str] | None = None) -> GroupModels:
+        """Copies of an unfitted estimator, one per group. Names come from ``fields``, from Named, or from its get_feature_names_out."""
+        ordered = False
+        while isinstance(estimator, (Named, OrderSensitive)):
+            ordered |= isinstance(estimator, OrderSensitive)
+            fields = list(estimator.fields) if isinstance(estimator, Named) else fields
+            estimator = estimator.estimator
+        if fields is None and hasattr(estimator, "get_feature_names_out"):
+            fields = [str(f) for f in estimator.get_feature_names_out(features)]
+        if fields is None:
+            raise Unsupported(f"unsupported: {type(estimator).__name__} doesn't name its fields (use Named)")
+        out = cls(kind, lambda: copy.deepcopy(estimator), features, fields, keys)
+        out.ordered = ordered
+        return out
 
     def fit(self, df: DataFrame, where: str | None = None, order_by: list[str] = ()) -> GroupModels:
         """``where`` filters the training rows, ``order_by`` sorts each group before it is fitted."""
         from tesserel.plans import shared
 
+        if self.ordered and not order_by:
+            raise Unsupported(f"unsupported: {self.kind} depends on the order of rows and was given none")
         keys, features, make, kind, order = self.keys, self.features, self.make, self.kind, list(order_by)
         src = df.where(where) if where else df
         src = src.select(*keys, *[F.col(f).cast("double").alias(f) for f in features], *[c for c in order if c not in keys + features])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserel.functions.udfs import GroupModels, PythonUDF, Standardise
+from tesserel.errors import TesserelError
+from tesserel.functions.udfs import GroupModels, Named, OrderSensitive, PythonUDF, Standardise
 from tesserel.operators import asof_join, columns, groups_window, keyed_lookup, nullsafe_join, positional_join, qualify, rename, replace, star_filter, trees
 from tesserel.plans.catalogue import built, r
 from tesserel.sources.tables import from_arrow, from_rows, static
@@ -155,6 +156,109 @@ def model_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SQLProjection(f"SELECT p_partkey, {r('std_transform(std_fit(p_retailprice) OVER (PARTITION BY p_brand), p_retailprice).z')} AS z FROM __THIS__", models={"std": std}).fit(df).transform(df)
 
 
+@built("udf_constant", "SELECT n_nationkey, 'a-7' AS tag, n_nationkey + 12 AS k, CAST(NULL AS VARCHAR) AS none FROM nation")
+def udf_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of constants are computed once, when the text is planned."""
+    tag = PythonUDF("tess_fold", lambda s, k: None if s is None else f"{s}-{k}", ("string", "int64"), "string")
+    ten = PythonUDF("tess_plus", lambda x: x + 10, ("int64",), "int64")
+    df = _t(spark, sf_dir, "nation")
+    return SQLTransform("SELECT n_nationkey, tess_fold('a', 7) AS tag, CAST(n_nationkey + tess_plus(2) AS INTEGER) AS k, tess_fold(NULL, 1) AS none FROM __THIS__", udfs=[tag, ten]).fit(df).transform(df)
+
+
+@built("udf_once_per_row", "SELECT p_partkey, p_size // 10 AS tens, p_size % 10 AS ones, TRUE AS once FROM part")
+def udf_once_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of one call: one evaluation, as both carry the same random mark."""
+    import random
+
+    split = PythonUDF("tess_marked", lambda x: {"tens": x // 10, "ones": x % 10, "a": random.random()}, ("int64",), {"tens": "int64", "ones": "int64", "a": "double"})
+    df = _t(spark, sf_dir, "part")
+    out = SQLTransform("SELECT p_partkey, u.tens AS tens, u.ones AS ones, u.a AS a, u.a AS b FROM (SELECT p_partkey, tess_marked(p_size) AS u FROM __THIS__) t", udfs=[split]).fit(df).transform(df)
+    return out.select("p_partkey", F.col("tens").cast("int").alias("tens"), F.col("ones").cast("int").alias("ones"), (F.col("a") == F.col("b")).alias("once"))
+
+
+def _refusals(spark: SparkSession, tried: dict) -> DataFrame:
+    """(what, refused) of calls that have to be refused."""
+    rows = []
+    for what, call in tried.items():
+        try:
+            call()
+            rows.append((what, False))
+        except TesserelError:
+            rows.append((what, True))
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
+@built("refusals", "SELECT unnest(['builtin name', 'duplicate key', 'inner join', 'xor operator', 'order', 'unnamed', 'not fitted']) AS what, TRUE AS refused")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserel.plans import dialect
+
+    n = _t(spark, sf_dir, "nation")
+    model = GroupModels.from_estimator("s", OrderSensitive(Named(Standardise(), ("z",))), ["n_nationkey"], ["n_regionkey"])
+    return _refusals(spark, {
+        "builtin name": lambda: PythonUDF("UPPER", str, ("string",), "string").register(spark), "duplicate key": lambda: static(n, ["n_regionkey"]),
+        "inner join": lambda: SQLProjection("SELECT t.n_name FROM __THIS__ t JOIN dims d ON t.n_regionkey = d.k", tables={"dims": n.selectExpr("n_regionkey AS k")}).fit(n),
+        "xor operator": lambda: dialect.translate(spark, "SELECT 1 # 2"), "order": lambda: model.fit(n), "unnamed": lambda: GroupModels.from_estimator("s", Standardise(), ["n_nationkey"]), "not fitted": lambda: SQLProjection("SELECT n_name FROM __THIS__").transform(n),
+    })
+
+
+@built("estimators_by_name", f"SELECT p_partkey, {r('(p_size - avg(p_size) OVER w) / CASE WHEN stddev_pop(p_size) OVER w = 0 THEN 1 ELSE stddev_pop(p_size) OVER w END')} AS z FROM part WINDOW w AS (PARTITION BY p_brand)")
+def estimators_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part")
+    model = GroupModels.from_estimator("std", OrderSensitive(Named(Standardise(), ("z",))), ["p_size"], ["p_brand"]).fit(df, order_by=["p_partkey"])
+    return model.transform(df).selectExpr("p_partkey", f"{r('z').replace('1e4', '1e4D')} AS z")
+
+
+@built("model_modifiers", f"SELECT p_partkey, {r('(p_size - m) / CASE WHEN s = 0 THEN 1 ELSE s END')} AS z, m IS NOT NULL AS known FROM part LEFT JOIN (SELECT p_brand AS k, avg(p_size) AS m, stddev_pop(p_size) AS s FROM part WHERE p_size > 40 GROUP BY 1) t ON p_brand = k")
+def model_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter at fit, groups that weren't fitted, and the exported id of every group's model."""
+    df = _t(spark, sf_dir, "part")
+    model = GroupModels("std", Standardise, ["p_size"], ["z"], ["p_brand"]).fit(df, where="p_size > 40", order_by=["p_partkey"])
+    ids = model.thetas().select("p_brand", F.col("theta.id").isNotNull().alias("known"))
+    return model.transform(df).join(ids, "p_brand", "left").selectExpr("p_partkey", f"{r('z').replace('1e4', '1e4D')} AS z", "coalesce(known, FALSE) AS known")
+
+
+@built("model_unnest", f"SELECT p_partkey, {r('(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ()')} AS z FROM part")
+def model_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part")
+    p = SQLProjection("SELECT p_partkey, unnest(std(p_size)) FROM __THIS__", models={"std": GroupModels("std", Standardise, [], ["z"])}).fit(df)
+    return p.transform(df).selectExpr("p_partkey", f"{r('z').replace('1e4', '1e4D')} AS z")
+
+
+@built("row_keeping_joins", f"SELECT o.o_orderkey, c.c_name, {r('o.o_totalprice - (SELECT avg(o_totalprice) FROM orders)', 2)} AS d, k.one FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey CROSS JOIN (SELECT 1 AS one) k")
+def row_keeping_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows on the left, on the right, and beside a constant: as many come out as go in."""
+    df = _t(spark, sf_dir, "orders")
+    tables = {"dims": _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name"), "const": spark.createDataFrame([(1,)], "one int")}
+    text = f"SELECT t.o_orderkey, d.c_name, {r('t.o_totalprice - (SELECT avg(o_totalprice) FROM __FIT__)', 2)} AS d, q.one FROM dims d RIGHT JOIN __THIS__ t ON t.o_custkey = d.k CROSS JOIN const q"
+    return SQLTransform(text, tables=tables).fit(df).transform(df)
+
+
+@built("session_catalogue", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def session_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that reads a table of the session's catalogue."""
+    _t(spark, sf_dir, "region").createOrReplaceTempView("region")
+    df = _t(spark, sf_dir, "nation")
+    return SQLTransform("SELECT n.n_name, r.r_name FROM __THIS__ n JOIN region r ON n.n_regionkey = r.r_regionkey").fit(df).transform(df)
+
+
+@built("output_forms", "SELECT unnest(['arrow', 'default', 'duckdb', 'numpy', 'pandas', 'rows']) AS form, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation GROUP BY 1")
+def output_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result in every form, counted there; from a file, cloned, with its names."""
+    import os
+
+    p = SQLProjection.from_file(os.path.join(os.path.dirname(__file__), "nation_names.sql"))
+    df = _t(spark, sf_dir, "nation")
+    t = p.clone().fit(df)
+    assert t.get_feature_names_out() == ["n_nationkey", "n_name"] and t.get_params()["sql"] == p.sql
+    lazy = t.transform(df)
+    keys = {
+        "default": [r_.n_nationkey for r_ in lazy.collect()], "arrow": t.set_output(transform="arrow").transform(df).column("n_nationkey").to_pylist(), "pandas": t.set_output(transform="pandas").transform(df)["n_nationkey"].tolist(),
+        "numpy": [int(x) for x in t.set_output(transform="numpy").transform(df)[:, 0]], "rows": [x["n_nationkey"] for x in t.set_output(transform="rows").transform(df)], "duckdb": [x[0] for x in t.set_output(transform="duckdb").transform(df).fetchall()],
+    }
+    t.release()
+    return spark.createDataFrame([(k, len(v), sum(v)) for k, v in keys.items()], "form string, n bigint, s bigint")
+
+
 _NODES = [(0, 0, 0, 0, 1, 2, 20.0, 0.0, True), (0, 0, 1, -1, -1, -1, 0.0, 1.5, False), (0, 0, 2, 1, 3, 4, 1200.0, 0.0, False), (0, 0, 3, -1, -1, -1, 0.0, 2.5, False), (0, 0, 4, -1, -1, -1, 0.0, -1.0, False), (0, 1, 0, 1, 1, 2, 1000.0, 0.0, True), (0, 1, 1, -1, -1, -1, 0.0, 0.25, False), (0, 1, 2, -1, -1, -1, 0.0, 0.75, False)]
 _TREE_SQL = "SELECT p_partkey, 0.5e0 + (CASE WHEN p_size <= 20 THEN 1.5e0 ELSE CASE WHEN p_retailprice <= 1200 THEN 2.5e0 ELSE -1.0e0 END END) + (CASE WHEN p_retailprice <= 1000 THEN 0.25e0 ELSE 0.75e0 END) AS prediction FROM part"
 

@@ -111,6 +111,7 @@ SQL: dict[str, str] = {
     # sort, limit, distinct, sets, subqueries
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20",
     "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 5",
+    "limit_percent": "SELECT count(*) AS n, max(c_custkey) AS m FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7%) t",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
@@ -151,6 +152,9 @@ SQL: dict[str, str] = {
     "regex_match": "SELECT p_partkey, regexp_matches(p_type, 'S[A-Z]+') AS m, regexp_full_match(p_brand, 'Brand#[0-9]+') AS f, regexp_matches(p_name, 'A', 'i') AS i FROM part",
     "regex_extract": "SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)#([0-9])') AS a, regexp_extract(p_brand, '([A-Za-z]+)#([0-9])', 2) AS b, regexp_extract(p_brand, 'zz') AS c FROM part",
     "regex_replace": "SELECT p_partkey, regexp_replace(p_brand, '[a-z]', '*') AS a, regexp_replace(p_brand, '[a-z]', '*', 'g') AS b, regexp_replace(p_brand, '(B)(r)', '\\2\\1') AS c FROM part",
+    "regex_lists": "SELECT p_partkey, regexp_split_to_array(p_type, '[ A]+') AS a, regexp_extract_all(p_brand, '[0-9]') AS b, string_split(p_brand, '#') AS c FROM part",
+    "regex_options": "SELECT p_partkey, regexp_matches(p_type, 'steel', 'i') AS i, regexp_matches('a' || chr(10) || p_brand, 'a.B', 's') AS s, regexp_replace(p_brand, 'b', '_', 'gi') AS g, regexp_matches(p_brand, '#[', 'l') AS l FROM part",
+    "conditional_if": "SELECT o_orderkey, if(o_totalprice > 100000, 'high', 'low') AS a, ifnull(nullif(o_orderstatus, 'F'), 'none') AS b FROM orders",
     "math_arithmetic": "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber - 5 AS s, l_linenumber * 3 AS m, l_orderkey // 7 AS q, l_orderkey % 7 AS r, -l_linenumber AS n, abs(l_linenumber - 4) AS b FROM lineitem",
     "math_divide": "SELECT l_orderkey, l_linenumber, l_linenumber / 4 AS d, l_quantity / (l_linenumber - 1) AS z, (l_linenumber - 1) / (l_linenumber - 1) AS y, 0.0e0 / (l_linenumber - 1) AS n FROM lineitem",
     "math_round": "SELECT l_orderkey, l_linenumber, round(l_extendedprice) AS r0, round(l_discount, 1) AS r1, floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, trunc(l_extendedprice) AS t, round(l_linenumber) AS i FROM lineitem",
