@@ -199,10 +199,9 @@ def _likely(m: int, threshold: float, skip: bool = True):
 
 def _blocks(pairs: DataFrame) -> DataFrame:
     """(cell, side, seq, sig): a bucket as one cell, or, of many documents, one for every pair of its blocks."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    small = pairs.where(F.col("size") <= BLOCK).select(F.col("bucket").alias("cell"), F.lit(0).alias("side"), "seq", "sig")
-    many = pairs.where(F.col("size") > BLOCK).withColumn("n", n).withColumn("side", F.pmod(F.xxhash64("seq"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return small.union(many.select(F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "side", "seq", "sig"))
+    parted = pairs.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("seq"), F.col("n")).cast("int"))
+    every = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return every.select(F.when(F.col("n") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))).alias("cell"), "side", "seq", "sig")
 
 
 def _sets(gram: int):
