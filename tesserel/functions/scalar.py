@@ -313,31 +313,48 @@ FUNCTIONS: dict[str, Call] = {
 }
 
 
+#: Cells of distance tables that are held at once.
+CELLS = 8_000_000
+
+
+def damerau(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances; all pairs fill their tables together, cell by cell."""
+    out = np.zeros(len(pairs), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in pairs], np.int64).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    at = 0
+    while at < len(order):
+        # pairs of like length, so that little of the tables is padding
+        wide = np.maximum.accumulate(sizes[order[at:]] + 2, axis=0).prod(1) * np.arange(1, len(order) - at + 1)
+        to = at + max(1, int(np.searchsorted(wide, CELLS, side="right")))
+        rows = order[at:to]
+        at = to
+        (p, q), n = sizes[rows].max(0), len(rows)
+        x, y = (np.frombuffer(b"".join(pairs[r][k].ljust(w, b"\0") for r in rows), np.uint8).reshape(n, w) for k, w in ((0, p), (1, q)))
+        far, each = sizes[rows].sum(1), np.arange(n)
+        d = np.empty((p + 2, q + 2, n), np.int32)
+        d[0], d[:, 0] = far, far
+        d[1:, 1], d[1, 1:] = np.arange(p + 1)[:, None], np.arange(q + 1)[:, None]
+        last = np.zeros((n, 256), np.int32)
+        for i in range(1, p + 1):
+            met = np.zeros(n, np.int32)
+            for j in range(1, q + 1):
+                k, m = last[each, y[:, j - 1]], met
+                same = x[:, i - 1] == y[:, j - 1]
+                met = np.where(same, j, met)
+                d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same, np.minimum(d[i + 1, j], d[i, j + 1]) + 1), d[k, m, each] + (i - k) + (j - m) - 1)
+            last[each, x[:, i - 1]] = i
+        out[rows] = d[sizes[rows, 0] + 1, sizes[rows, 1] + 1, each]
+    return out
+
+
 @pandas_udf(LongType())
 def tess_damerau(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Unrestricted Damerau-Levenshtein over bytes."""
-
-    def one(x: str | None, y: str | None) -> int | None:
-        if x is None or y is None:
-            return None
-        p, q = x.encode(), y.encode()
-        far = len(p) + len(q)
-        d = np.full((len(p) + 2, len(q) + 2), far)
-        d[1:, 1] = np.arange(len(p) + 1)
-        d[1, 1:] = np.arange(len(q) + 1)
-        last: dict[int, int] = {}
-        for i in range(1, len(p) + 1):
-            met = 0
-            for j in range(1, len(q) + 1):
-                k, m = last.get(q[j - 1], 0), met
-                same = p[i - 1] == q[j - 1]
-                if same:
-                    met = j
-                d[i + 1, j + 1] = min(d[i, j] + (not same), d[i + 1, j] + 1, d[i, j + 1] + 1, d[k, m] + (i - k - 1) + 1 + (j - m - 1))
-            last[p[i - 1]] = i
-        return int(d[-1, -1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")
+    """Over bytes."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.NA, index=a.index, dtype="Int64")
+    out[known] = damerau([(x.encode(), y.encode()) for x, y in zip(a[known], b[known])])
+    return out
 
 
 @pandas_udf(StringType())

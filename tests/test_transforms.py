@@ -290,3 +290,32 @@ def test_global_windows_are_scalar_aggregates(spark, train):
     assert [tuple(r) for r in dialect.run(spark, sql).collect()] == [tuple(r) for r in spark.sql("SELECT name, s, q FROM (SELECT name, age / max(age) OVER () AS s, fare div count(*) OVER () AS q, age <= avg(age) OVER () AS ok FROM train_rows WHERE fare > 5) WHERE ok ORDER BY name").collect()]
     grouped = "SELECT city, count(*) AS n, max(count(*)) OVER () AS m FROM train_rows GROUP BY city"
     assert " OVER ()" in dialect.translate(spark, grouped) and {r.m for r in dialect.run(spark, grouped).collect()} == {2}
+
+
+def test_damerau_by_the_textbook(monkeypatch):
+    import random
+
+    from tesserel.functions import scalar
+
+    def slow(p, q):
+        far, last = len(p) + len(q), {}
+        d = [[far] * (len(q) + 2) for _ in range(len(p) + 2)]
+        for i in range(len(p) + 1):
+            d[i + 1][1] = i
+        for j in range(len(q) + 1):
+            d[1][j + 1] = j
+        for i, x in enumerate(p, 1):
+            met = 0
+            for j, y in enumerate(q, 1):
+                k, m = last.get(y, 0), met
+                met = j if x == y else met
+                d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+            last[x] = i
+        return d[-1][-1]
+
+    rng = random.Random(0)
+    pairs = [tuple(bytes(rng.choice(b"abc\0") for _ in range(rng.randrange(9))) for _ in "xy") for _ in range(300)]
+    want = [slow(*p) for p in pairs]
+    assert scalar.damerau(pairs).tolist() == want and scalar.damerau([]).tolist() == []
+    monkeypatch.setattr(scalar, "CELLS", 500)
+    assert scalar.damerau(pairs).tolist() == want
