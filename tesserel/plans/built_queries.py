@@ -149,6 +149,16 @@ def member_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SQLTransform(f"SELECT o_orderkey, {r('d', 2)} AS d FROM centred(__FIT__, __THIS__)", members={"centred": centred}).fit(df).transform(df)
 
 
+@built("projection_leaf", f"SELECT o_orderkey, {r('o_totalprice * 2 - avg(o_totalprice * 2) OVER (PARTITION BY o_orderpriority)', 2)} AS a, {r('(o_shippriority - avg(o_shippriority) OVER (PARTITION BY o_orderstatus)) / 7')} AS b, o_custkey + 1 AS lo, o_custkey + 2 AS hi FROM (SELECT *, o_custkey % 5 AS o_shippriority FROM orders) t")
+def projection_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-wise texts as functions in another's expressions."""
+    df = _t(spark, sf_dir, "orders").withColumn("o_shippriority", F.expr("o_custkey % 5"))
+    centred = SQLProjection("SELECT x - avg(x) OVER (PARTITION BY g) AS d FROM __THIS__")
+    near = SQLProjection("SELECT k + 1 AS lo, k + 2 AS hi FROM __THIS__")
+    text = f"SELECT o_orderkey, {r('centred(o_totalprice * 2, o_orderpriority)', 2)} AS a, {r('centred(o_shippriority, o_orderstatus).d / 7')} AS b, unnest(near(o_custkey)) FROM __THIS__"
+    return SQLProjection(text, members={"centred": centred, "near": near}).fit(df).transform(df)
+
+
 @built("model_in_text", f"SELECT p_partkey, {r('(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand)) / nullif(stddev_pop(p_retailprice) OVER (PARTITION BY p_brand), 0)')} AS z FROM part")
 def model_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "part")

@@ -26,6 +26,8 @@ class _Authored:
         self.sql, self.tables, self.udfs, self.members, self.models, self.output = sql, tables, tuple(udfs), members, models, output
         self._id = uuid.uuid4().hex[:8]
         self._tree = freeze.spliced(parse(sql), members or {})
+        if self._parameter == freeze.THIS and members:
+            self._tree = freeze.leaves(self._tree, members)
         self._tree, self._calls = freeze.model_calls(self._tree, models or {}, f"__m_{self._id}_")
         self._plan = self._planned()
         self._fitted: freeze.Fitted | None = None

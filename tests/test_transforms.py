@@ -319,3 +319,16 @@ def test_damerau_by_the_textbook(monkeypatch):
     assert scalar.damerau(pairs).tolist() == want and scalar.damerau([]).tolist() == []
     monkeypatch.setattr(scalar, "CELLS", 500)
     assert scalar.damerau(pairs).tolist() == want
+
+
+def test_leaves_are_frozen_by_the_caller(spark, train):
+    centred = SQLProjection("SELECT x - avg(x) OVER (PARTITION BY g) AS d FROM __THIS__")
+    p = SQLProjection("SELECT name, centred(age + 1, country) AS d, twice(centred(fare, city)) AS e FROM __THIS__", members={"centred": centred, "twice": SQLProjection("SELECT v * 2 AS w FROM __THIS__")}).fit(train)
+    want = SQLProjection("SELECT name, age + 1 - avg(age + 1) OVER (PARTITION BY country) AS d FROM __THIS__").fit(train)
+    new = spark.createDataFrame([("fr", "p", 31.0, 5, "q"), ("zz", "p", 31.0, 5, "r")], train.schema)
+    assert [tuple(r)[:2] for r in p.transform(new).collect()] == [tuple(r) for r in want.transform(new).collect()] == [("q", 1.0), ("r", None)]
+    for text, word in (("SELECT centred(age) AS d FROM __THIS__", "2 arguments"), ("SELECT centred(age, city).z AS d FROM __THIS__", "no output z"), ("SELECT centred(centred(age, city), city) AS d FROM __THIS__", "derived table")):
+        with pytest.raises(errors.Unsupported, match=word):
+            SQLProjection(text, members={"centred": centred})
+    with pytest.raises(errors.Unsupported, match="more than a list"):
+        SQLProjection("SELECT f(age) AS d FROM __THIS__", members={"f": SQLProjection("SELECT x FROM __THIS__ WHERE x > 1")})
