@@ -254,6 +254,67 @@ def test_a_chunk_in_all_documents(spark):
     assert got == _contained(rows, fingerprints.THRESHOLD) and {a for a, *_ in got} == set(range(0, 150, 7))
 
 
+def _linked(rows):
+    """(id, class, links) of every row, from all pairs by brute force."""
+    want = _contained(rows, fingerprints.THRESHOLD)
+    first = {a: b for a, b, _, same in want if same}
+    n = collections.Counter()
+    for (a, _, _, same), often in want.items():
+        n[a] += often * (not same)
+    return collections.Counter((i, first.get(i, i), n[first.get(i, i)]) if WORD.search(t or "") else (i, None, 0) for i, t in rows)
+
+
+def test_links_by_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopr") for _ in range(7))
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    rows += [(1000 + i, rows[i][1] + " tail " + rows[i + 1][1]) for i in range(20)] + [(2000 + i, rows[i][1]) for i in range(5)]
+    lines = [" ".join(word() for _ in range(12)) for _ in range(3)]
+    rows += [(3000 + i, " ".join([*rng.sample(lines, rng.randrange(1, 4)), *(word() for _ in range(rng.choice([3, 12, 60])))])) for i in range(200)]
+    rows += [(4000, None), (4001, ""), (4002, "!!")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = _linked(rows)
+    assert len({links for *_, links in want}) > 20
+    for common, at_once in ((1000, 2_000_000), (10, 500), (1, 2_000_000)):  # nearly all shared chunks common, some, none
+        monkeypatch.setattr(fingerprints, "COMMON", common)
+        monkeypatch.setattr(fingerprints, "SETS_AT_ONCE", at_once)
+        got = collections.Counter((r.doc_id, r.class_id, r.links) for r in fingerprints.op3_links(docs).collect())
+        assert got == want
+    monkeypatch.setattr(fingerprints, "SENT", 0)  # copies left out by a join
+    monkeypatch.setattr(fingerprints, "ABLE_AT_ONCE", 150)  # documents in rounds
+    assert collections.Counter((r.doc_id, r.class_id, r.links) for r in fingerprints.op3_links(docs).collect()) == want
+    assert fingerprints.op3_links(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_lists_are_summed_in_blocks():
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(900, n, replace=False)) for n in (2, 3, 700, 40, 40, 5)] + [np.array([1, 5])] * 2
+    size = np.array([7, 8, 9, 10, 11, 12, 13, 13])
+    b = pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), pa.array(size)], ["ks", "size"])
+    known = np.arange(0, 900, 3)
+    known = np.sort(np.r_[known, 1])
+    weight, held = rng.integers(10, 60, len(known)), np.where(rng.random(len(known)) < 0.5, 0, 2)
+    sent = collections.namedtuple("Sent", "value")((known, weight, held))
+    n = collections.Counter()
+    for ks, m in zip(lists, size.tolist()):
+        for i, j in itertools.permutations(ks.tolist(), 2):
+            n[i, j] += m
+    at = {int(k): i for i, k in enumerate(known)}
+    sure, open_ = collections.Counter(), {}
+    for (i, j), m in n.items():
+        if i in at and m >= 0.5 * weight[at[i]] and held[at[i]] < 0.5 * weight[at[i]]:
+            sure[i] += 1
+        elif i in at and held[at[i]] and m + held[at[i]] >= 0.5 * weight[at[i]]:
+            open_[i, j] = m
+    dealt = list(fingerprints._dealt(sent, 5)([b]))
+    for at_once in (10, 1 << 21):
+        rows = [r for out in fingerprints._meetings(sent, 5, 0.5, at_once)(dealt) for r in out.to_pylist()]
+        got = collections.Counter()
+        for r in rows:
+            got[r["k"]] += r["links"] or 0
+        assert +got == sure and {(r["k"], r["other"]): r["n"] for r in rows if r["other"] is not None} == open_ and open_
+
+
 def test_fingerprints_on_messy_rows(spark):
     assert _found(fingerprints.op3_fingerprints(messy.documents(spark))) == _contained(messy.ROWS, fingerprints.THRESHOLD)
     assert fingerprints.op3_fingerprints(messy.empty(spark)).count() == 0
