@@ -165,6 +165,23 @@ def test_queries_by_id_are_searched_exactly(spark, monkeypatch):
             assert all(abs(d - np.linalg.norm(x[i].astype(float) - x[n])) < 1e-9 for _, n, d in rows)
 
 
+def test_the_query_estimates_nothing(spark, monkeypatch):
+    from tesserel.llm import queries
+
+    def sampled(*_):
+        raise AssertionError("a limit that is calibrated on a sample")
+
+    monkeypatch.setattr(ann, "limits", sampled)
+    monkeypatch.setattr(ann, "search", sampled)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float32)
+    want = {ids[i]: {ids[j] for j in near} for i, near in enumerate(_brute(x, 10)) if ids[i] % 50 == 0}
+    got = collections.defaultdict(set)
+    for r in queries.queries()["op1_ann"](spark, SF).collect():
+        got[r.vec_id].add(r.neighbour_id)
+    assert got == want  # recall 1
+
+
 def test_queries_by_id_of_odd_tables(spark):
     rows = [(None, [0.0, 0.0]), (0, [0.0, 1.0]), (0, [5.0, 1.0]), (50, [0.0, 1.0]), (51, [0.0, 1.0]), (-100, [7.0, 7.0]), (100, None), (150, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
