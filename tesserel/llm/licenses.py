@@ -10,6 +10,10 @@ families that the classifier proposes: the words around common bigrams, with gap
 ``GAP`` words at most, must have enough of a template's bigrams, and the family's own words:
 names and versions that its siblings don't share.
 
+Only paragraphs that the comparison could confirm anything in are scored: those with enough
+bigrams of templates close together and a required word at them. What the others come to is
+known beforehand, so no passage is lost.
+
 The classifier is trained here, on pieces of the templates inside ordinary words, changed
 at random; as unknown count ordinary words, phrases that only sound like licences, and notices
 of licences that are none of the families. Its temperature is fitted on held-out examples,
@@ -318,9 +322,29 @@ def _hashes(texts: list[str], two: bool) -> np.ndarray:
 
 _GRAM_HASHES = _hashes([t for f in FAMILIES for t in TEMPLATES[f]], True)
 _OWN_HASHES = _hashes([x for f in FAMILIES for r in REQUIRED[f] for x in r], False)
+#: One word of each required set, which every passage that the set admits has.
+_KEY_HASHES = _hashes([max(r, key=lambda x: (len(x), x)) for f in FAMILIES for r in REQUIRED[f]], False)
 _SHORTEST = min(len(g) for f in FAMILIES for g in _GRAMS[f])
 
 
+def _possible(w: tv.Words, first: np.ndarray, confirm: float) -> np.ndarray:
+    """Which paragraphs can have a confirmed passage, whatever the classifier says: words with bigrams of templates no more than ``GAP`` apart, enough of them, and a required word among or around them."""
+    at = np.flatnonzero(np.isin(tv.mix(w.hash[:-1] * tv.STEP1 + w.hash[1:]), _GRAM_HASHES))
+    if not len(at):
+        return np.zeros(len(first), bool)
+    key = np.r_[0, np.cumsum(np.isin(w.hash, _KEY_HASHES))]
+    # runs of all templates together: that of one template lies whole in one of these
+    heads = np.flatnonzero(np.r_[True, np.diff(at) > GAP + 1])
+    tails = np.r_[heads[1:], len(at)]
+    s, e = np.maximum(at[heads] - AROUND, 0), np.minimum(at[tails - 1] + 2 + AROUND, len(w.hash))
+    run = np.flatnonzero((tails - heads >= confirm * min(_SHORTEST, LEAST_BIGRAMS)) & (key[e] > key[s]))
+    # a run can reach over the ends of paragraphs
+    change = np.zeros(len(first) + 1, np.int64)
+    np.add.at(change, np.searchsorted(first, at[heads[run]], side="right") - 1, 1)
+    np.add.at(change, np.searchsorted(first, at[tails[run] - 1] + 1, side="right"), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _worth(w: tv.Words, s: np.ndarray, e: np.ndarray, confirm: float) -> np.ndarray:
     """Whether the words [s, e) have what every confirmed passage has: so many bigrams of templates and a word that some family requires."""
     two = np.r_[0, np.cumsum(np.isin(tv.mix(w.hash[:-1] * tv.STEP1 + w.hash[1:]), _GRAM_HASHES))]
@@ -388,6 +412,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample_lines: int = SAMPLE_
 def scan(m: Model, column: pa.Array, confirm: float = CONFIRM) -> list[tuple[int, int, int, int, float, float]]:
     """(row, family, first character, character after the last, probability, likeness) of the passages of the texts."""
     w, first, stop = paragraphs(column)
+    some = _possible(w, first, confirm)
+    first, stop = first[some], stop[some]
     a, b = windows(first, stop)
     ok, p = m.score(w, a, b)
     sure = np.flatnonzero(1 - p[:, -1] >= m.least)

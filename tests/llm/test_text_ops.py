@@ -876,6 +876,28 @@ def test_licence_scan_by_brute_force(licence_model):
         assert got[i] == _scanned_slowly(licence_model[0], t), t
 
 
+def test_licence_windows_are_scored_only_where_a_passage_can_be(licence_model, monkeypatch):
+    rng = random.Random(5)
+    bag = [w for x in licence_model[1] for w in x.split()]
+    templates = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = []
+    for _ in range(300):  # pieces of templates, words of theirs dropped, between and across paragraphs
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = [x for x in rng.choice(templates).split() if rng.random() > 0.15]
+            at = rng.randrange(len(words)) if words else 0
+            parts += [" ".join(rng.choice(bag) for _ in range(rng.randrange(40))), " ".join(words[at : at + rng.randrange(2, 40)])]
+        texts.append(" ".join(x + rng.choice(["", "", "\n\n"]) for x in parts))
+    column = pa.array(texts + [" ".join(rng.choice(bag) for _ in range(3000)), "", "x"], pa.large_string())
+    scored, score = [], licenses.Model.score
+    monkeypatch.setattr(licenses.Model, "score", lambda m, w, a, b: scored.append(len(a)) or score(m, w, a, b))
+    got = licenses.scan(licence_model[0], column)
+    assert licenses.scan(licence_model[0], column.slice(len(texts))) == [] and scored[1] == 0  # ordinary words: no window
+    # the same passages as when every paragraph is scored
+    monkeypatch.setattr(licenses, "_possible", lambda w, first, confirm: np.ones(len(first), bool))
+    assert licenses.scan(licence_model[0], column) == got and len(got) > 100 and scored[2] > scored[0]
+
+
 def test_likeness_by_brute_force():
     rng = random.Random(4)
     pool = [x for t in licenses.TEMPLATES["MPL-2.0"] for x in licenses.tokens(t)] + ["of", "the", "zebra"]
