@@ -315,6 +315,42 @@ def test_pairs_of_lists_are_summed_in_blocks():
         assert +got == sure and {(r["k"], r["other"]): r["n"] for r in rows if r["other"] is not None} == open_ and open_
 
 
+def test_equal_lists_are_one_and_similar_ones_compress(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [np.sort(rng.choice(200_000, n, replace=False)) for n in rng.integers(2, 9, 300)]
+    lists = [x if rng.random() < 0.6 else x[np.sort(rng.choice(len(x), max(2, len(x) - 1), replace=False))] for x in base for _ in range(8)]
+    rng.shuffle(lists)
+    digest = np.sort(rng.choice(2**57, len(lists), replace=False).astype(np.uint64)) << np.uint64(6) | rng.integers(0, 64, len(lists)).astype(np.uint64)
+    want = collections.Counter()
+    for ks, x in zip(lists, digest):
+        want[tuple(ks.tolist())] += int(x & np.uint64(63)) + 1
+    docs = pa.array([int(k) for ks in lists for k in ks] + [7, 8]), tv.lists(np.r_[np.repeat(digest, [len(x) for x in lists]), np.array([1, 2], np.uint64)].view(np.int64), np.ones(sum(map(len, lists)) + 2, np.int64))
+    sent = collections.namedtuple("Sent", "value")(np.zeros(0, np.int64))
+    packed = list(fingerprints._packed(4, sent, sent)([pa.RecordBatch.from_arrays(list(docs), ["k", "chunks"])]))
+    by_part = collections.defaultdict(list)
+    size = 0
+    for part in range(4):  # as the shuffles would
+        own = [b.filter(pa.compute.equal(b.column("part"), part)) for b in packed]
+        for b in fingerprints._shared(3)(own):
+            by_part[b.column("part")[0].as_py()].append(b)
+            size += sum(len(b.column(c)[0].as_py()) for c in ("n", "size", "ks"))
+    got = [(tuple(r["ks"]), r["size"]) for own in by_part.values() for b in fingerprints._lists(own) for r in b.to_pylist()]
+    assert dict(got) == want and len(got) == len(want) < len(lists)
+    assert size < 3 * sum(map(len, lists))  # bytes that are shuffled for each number, of 8
+    assert [x.tolist() for x in fingerprints._together(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[]] * 4
+
+
+def test_common_chunks_go_by_their_places(spark, monkeypatch):
+    seen, judged = [], fingerprints._judged
+    monkeypatch.setattr(fingerprints, "_judged", lambda common, least: seen.append(len(common.value)) or judged(common, least))
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    docs, want = spark.createDataFrame(rows, "doc_id int, text string"), _linked(rows)
+    for places in (("smallint", np.int16), ("int", np.int32)):
+        monkeypatch.setattr(fingerprints, "_places", lambda _, places=places: places)
+        assert collections.Counter((r.doc_id, r.class_id, r.links) for r in fingerprints.op3_links(docs).collect()) == want
+    assert min(seen) > 10
+
+
 def test_fingerprints_on_messy_rows(spark):
     assert _found(fingerprints.op3_fingerprints(messy.documents(spark))) == _contained(messy.ROWS, fingerprints.THRESHOLD)
     assert fingerprints.op3_fingerprints(messy.empty(spark)).count() == 0
