@@ -345,8 +345,9 @@ def test_common_chunks_go_by_their_places(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "_judged", lambda common, least: seen.append(len(common.value)) or judged(common, least))
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     docs, want = spark.createDataFrame(rows, "doc_id int, text string"), _linked(rows)
-    for places in (("smallint", np.int16), ("int", np.int32)):
+    for places, sized in ((("smallint", np.int16), fingerprints.sized), (("int", np.int32), lambda df, rows: df)):  # sent, and joined by shuffle
         monkeypatch.setattr(fingerprints, "_places", lambda _, places=places: places)
+        monkeypatch.setattr(fingerprints, "sized", sized)
         assert collections.Counter((r.doc_id, r.class_id, r.links) for r in fingerprints.op3_links(docs).collect()) == want
     assert min(seen) > 10
 
