@@ -1086,3 +1086,34 @@ def test_near_duplicates_in_messy_rows(spark):
     ids = collections.Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and ids[9] == 0 and ids[None] == 2 and sum(ids.values()) == len(messy.ROWS) - 2
     assert minhash.op10_minhash(messy.empty(spark)).count() == 0 and minhash.deduplicated(messy.empty(spark)).count() == 0
+
+
+def test_pairs_that_common_chunks_decide_are_no_rows(spark, monkeypatch):
+    kept, made = [], fingerprints.shared.table
+    monkeypatch.setattr(fingerprints.shared, "table", lambda df, name, **more: kept.append((name, out := made(df, name, **more))) or out)
+    monkeypatch.setattr(fingerprints, "COMMON", 10)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopr") for _ in range(7))
+    lines, parts = ([" ".join(word() for _ in range(12)) for _ in range(n)] for n in (3, 40))
+    rows = [(i, " ".join([*rng.sample(lines, rng.randrange(1, 3)), *rng.sample(parts, 2), *(word() for _ in range(rng.choice([3, 40, 90])))])) for i in range(150)]
+    docs, want = spark.createDataFrame(rows, "doc_id int, text string"), _linked(rows)
+    pairs = []
+    for most in (4_000_000, 0):  # sent to the tasks, and joined to the pairs
+        monkeypatch.setattr(fingerprints, "HOLDERS_AT_ONCE", most, raising=False)
+        kept.clear()
+        assert collections.Counter((r.doc_id, r.class_id, r.links) for r in fingerprints.op3_links(docs).collect()) == want
+        pairs.append(sum(df.where("other IS NOT NULL").count() for name, df in kept if name == "met"))
+    assert pairs[0] == 0 < pairs[1]
+
+
+def test_longest_lists_propose_no_pairs(monkeypatch):
+    # each document has a long list of 10 bytes and a short one of 20, and needs 25
+    lists = [list(range(2000)), *([i, i + 1] for i in range(0, 2000, 2))]
+    b = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), pa.array([10] + [20] * 1000)], ["ks", "size"])
+    sent = collections.namedtuple("Sent", "value")((np.arange(2000), np.full(2000, 50), np.zeros(2000, np.int64)))
+    read, ragged = [], tv.ragged
+    monkeypatch.setattr(tv, "ragged", lambda starts, lengths: read.append(int(lengths.sum())) or ragged(starts, lengths))
+    dealt = list(fingerprints._dealt(sent, 3)([b]))
+    got = [(r["k"], r["links"]) for at in range(3) for out in fingerprints._meetings(sent, 3, 0.5)([x.filter(pa.compute.equal(x.column("block"), at)) for x in dealt]) for r in out.to_pylist()]
+    assert sorted(got) == [(i, 1) for i in range(2000)]
+    assert 0 < sum(read) < 10_000  # of 4,000,000 pairs in the long list
