@@ -33,3 +33,27 @@ def test_query_equals_its_sql(spark, con, name):
 def test_rest_runs(spark):
     for name in set(QUERIES) - set(SQL):
         assert QUERIES[name](spark, SF).columns
+
+
+PARTITIONS = {
+    "star and nulls": "SELECT *, count(*) OVER (PARTITION BY nullif(o_orderstatus, 'F')) AS n FROM orders",
+    "join and where": "SELECT o.o_orderkey, max(o_totalprice) OVER (PARTITION BY c.c_nationkey, o_orderstatus) AS m FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0",
+    "qualify": "SELECT * FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 12",
+    "zeros and NaN": "SELECT o_orderkey, count(*) OVER (PARTITION BY CASE o_orderkey % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN -0.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END) AS n FROM orders",
+    "constant": "SELECT o_orderkey, count(*) OVER (PARTITION BY 5) AS n FROM orders",
+}
+
+
+@pytest.mark.parametrize("text", [SQL["window_partition"], SQL["window_rows_whole"], *PARTITIONS.values()], ids=["window_partition", "window_rows_whole", *PARTITIONS])
+def test_whole_partitions_meet_by_partial_sums(spark, con, text):
+    df = catalogue._sql(text)(spark, SF)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert oracle.of(df) == oracle.duck(con, text)[0]
+
+
+def test_inputs_that_differ_when_read_again_keep_windows(spark):
+    from tesserel.plans import dialect
+
+    spark.range(100).selectExpr("id", "CAST(rand() * 5 AS INT) AS k").createOrReplaceTempView("drawn")
+    df = dialect.run(spark, "SELECT id, count(*) OVER (PARTITION BY k) AS n FROM drawn")
+    assert "Window" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 100
