@@ -57,3 +57,10 @@ def test_inputs_that_differ_when_read_again_keep_windows(spark):
     spark.range(100).selectExpr("id", "CAST(rand() * 5 AS INT) AS k").createOrReplaceTempView("drawn")
     df = dialect.run(spark, "SELECT id, count(*) OVER (PARTITION BY k) AS n FROM drawn")
     assert "Window" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 100
+
+
+@pytest.mark.parametrize("text", [SQL["window_distinct"], "SELECT o_orderkey, count(DISTINCT nullif(o_orderstatus, 'F')) OVER (PARTITION BY nullif(o_orderpriority, '5-LOW')) AS n, count(DISTINCT o_custkey) FILTER (WHERE o_totalprice > 1e5) OVER (PARTITION BY o_orderstatus) AS m FROM orders"], ids=["window_distinct", "nulls and filter"])
+def test_distinct_values_of_partitions_are_counted_by_groups(spark, con, text):
+    df = catalogue._sql(text)(spark, SF)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert oracle.of(df) == oracle.duck(con, text)[0]
